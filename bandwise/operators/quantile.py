@@ -28,7 +28,12 @@ def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 64,
     n = hist.agg(F.sum("c")).scalar()
     cuts = [i / bins for i in range(1, bins)]
     edges = values.agg(F.percentile_approx("v", cuts, accuracy)).scalar()
-    binned = hist.withColumn("b", F.size(F.filter(edges, lambda e: e <= F.col("v"))))
+    # bin = number of cut points <= v (cut points ascend, so bins are ordered)
+    with_edges = hist.withColumn("_e", edges)
+    b = F.lit(0)
+    for i in range(1, bins):
+        b = b + F.when(F.element_at("_e", i) <= F.col("v"), 1).otherwise(0)
+    binned = with_edges.select("v", "c", b.alias("b"))
     totals = binned.groupBy("b").agg(F.sum("c").alias("bc"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("b", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))
