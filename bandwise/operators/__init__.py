@@ -2,7 +2,7 @@
 
 from bandwise.operators.aggregates import lag_change, segment_summary, share_of_total, threshold_split
 from bandwise.operators.audit import duplicate_keys, join_key_audit, quality_audit
-from bandwise.operators.baseline import baseline_from_sums, lift_vs_baseline
+from bandwise.operators.baseline import lift_vs_baseline, with_baseline
 from bandwise.operators.benchmark import benchmark_gap, competitor_range
 from bandwise.operators.cleaning import (
     clean_consumers,
@@ -16,14 +16,22 @@ from bandwise.operators.joins import bounded_broadcast, measure
 from bandwise.operators.master import ALL_PARTS, build_master, keep_fanout, row_count
 from bandwise.operators.quantile import exact_percentile
 from bandwise.operators.ranking import best_band
-from bandwise.operators.tags import CLAIM_TAGS, PREMIUM_CLAIM_TAGS, claim_map, tag_explode
+from bandwise.operators.tags import (
+    CLAIM_TAGS,
+    PREMIUM_CLAIM_TAGS,
+    claim_map,
+    explode_with_total,
+    tag_explode,
+    tag_lists,
+)
 
 __all__ = [
     "segment_summary", "share_of_total", "lag_change", "threshold_split",
     "quality_audit", "duplicate_keys", "join_key_audit",
-    "baseline_from_sums", "lift_vs_baseline", "benchmark_gap", "competitor_range",
+    "with_baseline", "lift_vs_baseline", "benchmark_gap", "competitor_range",
     "clean_transactions", "clean_consumers", "clean_products", "clean_geography",
     "competitor_summary", "known_tier", "bounded_broadcast", "measure",
     "build_master", "keep_fanout", "row_count", "ALL_PARTS", "exact_percentile", "best_band",
-    "CLAIM_TAGS", "PREMIUM_CLAIM_TAGS", "claim_map", "tag_explode",
+    "CLAIM_TAGS", "PREMIUM_CLAIM_TAGS", "claim_map", "tag_explode", "tag_lists",
+    "explode_with_total",
 ]

@@ -37,13 +37,11 @@ def share_of_total(agg: DataFrame, count_col: str, out: str,
                    within: Sequence[str] | None = None) -> DataFrame:
     """ROUND(100 * n / SUM(n) OVER (PARTITION BY within), 2) over grouped rows.
 
-    With no partition the total is a scalar subquery over the grouped rows,
-    so no window pulls every group into one task.
+    ``agg`` holds one row per group (a bucket, tier or pack size), so even the
+    unpartitioned total gathers only that many rows in one task; the raw rows
+    were reduced by the partial aggregation before any shuffle.
     """
-    if within:
-        total = F.sum(count_col).over(Window.partitionBy(*within))
-    else:
-        total = agg.agg(F.sum(count_col)).scalar()
+    total = F.sum(count_col).over(Window.partitionBy(*(within or [])))
     return agg.withColumn(out, pct(count_col, total))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwise.functions.money import money_round
@@ -15,14 +15,22 @@ FINDINGS_VERDICTS = ("worth the premium claim", "not pulling its weight", "about
 NOTEBOOK_VERDICTS = ("premium justified", "below market", "at market")
 
 
-def baseline_from_sums(grouped: DataFrame, sum_col: str, count_col: str) -> Column:
-    """ROUND(overall mean, 2) as a scalar, from per-group sums and counts.
+def with_baseline(grouped: DataFrame, sum_col: str, count_col: str,
+                  total_row: Column | None = None, out: str = "_baseline") -> DataFrame:
+    """Attach ROUND(overall mean, 2) to every grouped row.
 
-    The grouped rows must cover every input row (include the NULL group), so
-    the overall mean equals AVG over the ungrouped input; the input is read
-    once and the baseline comes from the few grouped rows.
+    Either one row holds the overall sum and count (``total_row`` picks it),
+    or the grouped rows together cover every input row (the NULL group
+    included) and the overall mean is their summed sums over summed counts.
+    The input is read once; the window runs over the grouped rows only (one
+    per tag or occasion), never over raw rows.
     """
-    return grouped.agg(money_round(F.sum(sum_col) / F.sum(count_col))).scalar()
+    w = Window.partitionBy()
+    if total_row is None:
+        overall = F.sum(sum_col).over(w) / F.sum(count_col).over(w)
+    else:
+        overall = F.max(F.when(total_row, F.col(sum_col) / F.col(count_col))).over(w)
+    return grouped.withColumn(out, money_round(overall))
 
 
 def lift_vs_baseline(df: DataFrame, raw_mean: Column, baseline: Column,

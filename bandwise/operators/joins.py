@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import OrderedDict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,29 +23,86 @@ class Size:
     bytes: int
 
 
-def measure(df: DataFrame) -> Size:
-    """Exact row count and in-memory size estimate of ``df``.
+    def fits(self, max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES) -> bool:
+        return self.rows <= max_rows and self.bytes <= max_bytes
+
+
+def _size_row(df: DataFrame, name: str) -> DataFrame:
+    """One-row aggregate: (name, rows, bytes). The byte figure follows the row
+    layout of hashed relations -- a null bitmap and one 8-byte slot per
+    column, plus the UTF-8 bytes of strings."""
+    width = F.lit(8 + 8 * len(df.columns))
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            # array header plus 8 bytes and the UTF-8 bytes of every element
+            elem = (lambda x: F.coalesce(F.octet_length(x), F.lit(0)) + 8) if isinstance(
+                f.dataType.elementType, T.StringType) else (lambda x: F.lit(8))
+            width = width + F.coalesce(
+                F.aggregate(c, F.lit(16), lambda acc, x: acc + elem(x)), F.lit(0))
+    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"),
+                  F.sum(width.cast("long")).alias("b"))
+
+
+# Size proofs already taken in this application, keyed by the plan's semantic
+# hash and the exact list of files it reads. A rewritten table gets new file
+# names, so its key changes; a hit is double-checked with sameSemantics.
+_PROOFS: OrderedDict[tuple, tuple[DataFrame, Size]] = OrderedDict()
+_PROOF_SLOTS = 256
+
 
-    One aggregate job: partial counts per task, one row per task shuffled.
-    The byte figure follows the row layout used for hashed relations -- a null
-    bitmap and one 8-byte slot per column, plus the UTF-8 bytes of strings.
+def _proof_key(df: DataFrame) -> tuple:
+    files = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
+    return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), files)
+
+
+def measure_many(frames: dict[str, DataFrame], reuse: bool = True) -> dict[str, Size]:
+    """Exact row counts and size estimates of several DataFrames in one job.
+
+    Each is a global aggregate (partial counts per task, one row per task
+    shuffled); the union of the one-row results is collected: as many rows
+    as there are inputs. Sizes proven earlier in the same application for the
+    same plan over the same files are reused instead of recomputed.
     """
-    fixed = 8 + 8 * len(df.columns)
-    var = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
-           for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    width = F.lit(fixed)
-    for v in var:
-        width = width + v
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("b")).first()
-    return Size(int(row["n"] or 0), int(row["b"] or 0))
+    out: dict[str, Size] = {}
+    todo: dict[str, tuple[DataFrame, tuple]] = {}
+    for name, df in frames.items():
+        key = _proof_key(df)
+        hit = _PROOFS.get(key) if reuse else None
+        if hit is not None and hit[0].sameSemantics(df):
+            _PROOFS.move_to_end(key)
+            out[name] = hit[1]
+        else:
+            todo[name] = (df, key)
+    if todo:
+        parts = [_size_row(df, name) for name, (df, _) in todo.items()]
+        union = parts[0]
+        for p in parts[1:]:
+            union = union.unionByName(p)
+        for r in union.collect():
+            size = Size(int(r["n"] or 0), int(r["b"] or 0))
+            df, key = todo[r["name"]]
+            out[r["name"]] = size
+            _PROOFS[key] = (df, size)
+            while len(_PROOFS) > _PROOF_SLOTS:
+                _PROOFS.popitem(last=False)
+    return out
+
+
+def measure(df: DataFrame) -> Size:
+    """Exact row count and in-memory size estimate of ``df``."""
+    return measure_many({"df": df})["df"]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BYTES) -> tuple[DataFrame, bool]:
+                      max_bytes: int = DEFAULT_MAX_BYTES,
+                      size: Size | None = None) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when its measured size is within the bound,
     else ``(df, False)`` so the planner shuffles both sides (sort-merge join,
-    with AQE splitting skewed partitions)."""
-    size = measure(df)
-    if size.rows <= max_rows and size.bytes <= max_bytes:
+    with AQE splitting skewed partitions). Pass ``size`` if already measured."""
+    size = size or measure(df)
+    if size.fits(max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False

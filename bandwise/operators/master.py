@@ -25,7 +25,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.operators.joins import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, bounded_broadcast, measure
+from bandwise.operators.joins import (
+    DEFAULT_MAX_BYTES,
+    DEFAULT_MAX_ROWS,
+    Size,
+    bounded_broadcast,
+    measure,
+    measure_many,
+)
 from bandwise.sources.schemas import CONSUMER_PART, GEOGRAPHY_PART, MASTER_COLUMNS, PRODUCT_PART
 
 PARTS = {
@@ -38,18 +45,25 @@ ORDER_PART = ("order_id", "user_id", "product_id", "price", "quantity", "line_re
               "channel", "timestamp")
 
 
+def repeated_keys(dim: DataFrame, key: str) -> DataFrame:
+    """Keys that occur more than once on the right side, with their copies."""
+    return (dim.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+            .filter(F.col("_copies") > 1))
+
+
 def keep_fanout(lines: DataFrame, dim: DataFrame, key: str,
-                max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+                max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES,
+                size: Size | None = None) -> DataFrame:
     """``lines LEFT JOIN dim USING (key)`` projected back onto ``lines``.
 
     Equal rows to the join, without reading the dimension's attributes.
+    ``size`` is the measured size of ``repeated_keys(dim, key)`` if known.
     """
-    repeated = (dim.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-                .filter(F.col("_copies") > 1))
-    size = measure(repeated)
+    repeated = repeated_keys(dim, key)
+    size = size or measure(repeated)
     if size.rows == 0:
         return lines
-    if size.rows <= max_rows and size.bytes <= max_bytes:
+    if size.fits(max_rows, max_bytes):
         tagged = lines.join(F.broadcast(repeated), key, "left")
         copies = F.explode(F.sequence(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1))))
         return tagged.select(*lines.columns, copies.alias("_copy")).drop("_copy")
@@ -64,20 +78,30 @@ def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
     products and raw order geography. ``need`` names the attribute groups the
     caller reads (``buyer``, ``product``, ``geo``); the others only keep their
     row multiplicity. The result has the order columns plus the needed groups,
-    in the reference's column order."""
+    in the reference's column order.
+
+    All three dimensions are measured in one job before planning the joins:
+    the needed ones in full (broadcast or shuffle), the others by their
+    repeated keys only (drop the join, broadcast the repeats, or join on key).
+    """
     need = set(need)
     unknown = need - set(PARTS)
     if unknown:
         raise ValueError(f"unknown master parts {sorted(unknown)}")
     dims = {"buyer": consumers, "product": products, "geo": geography}
-    master = tx.select(*ORDER_PART)
+    right = {}
     for part, (key, cols) in PARTS.items():
         dim = dims[part]
+        right[part] = dim.select(key, *cols) if part in need else repeated_keys(dim.select(key), key)
+    sizes = measure_many(right)
+    master = tx.select(*ORDER_PART)
+    for part, (key, _cols) in PARTS.items():
         if part in need:
-            right, _ = bounded_broadcast(dim.select(key, *cols), max_rows, max_bytes)
-            master = master.join(right, key, "left")
+            side, _ = bounded_broadcast(right[part], max_rows, max_bytes, size=sizes[part])
+            master = master.join(side, key, "left")
         else:
-            master = keep_fanout(master, dim.select(key), key, max_rows, max_bytes)
+            master = keep_fanout(master, dims[part].select(key), key, max_rows, max_bytes,
+                                 size=sizes[part])
     keep = [c for c in MASTER_COLUMNS if c in master.columns]
     return master.select(*keep)
 

@@ -35,3 +35,20 @@ def claim_map(products: DataFrame, tags: Sequence[str], match: str = "substring"
     """
     return tag_explode(products.select(id_col, text_col), text_col, tags, match).select(
         id_col, "claim_tag")
+
+
+def tag_lists(tag_rel: DataFrame, id_col: str = "product_id") -> DataFrame:
+    """(product_id, tags): the tags of each product as one array (a product
+    listed twice contributes its tags twice). Product-grain, so it can be
+    measured and broadcast like the product table itself."""
+    return tag_rel.groupBy(id_col).agg(F.collect_list("claim_tag").alias("tags"))
+
+
+def explode_with_total(df: DataFrame, tags_col: str = "tags", out: str = "claim_tag") -> DataFrame:
+    """One row per tag of the row plus one row with a NULL tag for every input
+    row: grouping by the tag then yields every tag's figures and, under the
+    NULL tag, the figures over all input rows -- in the same aggregation."""
+    marker = F.array(F.lit(None).cast("string"))
+    tags = F.coalesce(F.col(tags_col), F.array().cast("array<string>"))
+    keep = [c for c in df.columns if c != tags_col]
+    return df.select(*keep, F.explode(F.concat(marker, tags)).alias(out))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ from bandwise.operators.audit import join_key_audit, quality_audit
 from bandwise.operators.baseline import (
     FINDINGS_VERDICTS,
     NOTEBOOK_VERDICTS,
-    baseline_from_sums,
     lift_vs_baseline,
+    with_baseline,
 )
 from bandwise.operators.benchmark import benchmark_gap
 from bandwise.operators.cleaning import (
@@ -55,7 +56,13 @@ from bandwise.operators.cleaning import (
 from bandwise.operators.joins import bounded_broadcast
 from bandwise.operators.master import ALL_PARTS, build_master, row_count
 from bandwise.operators.ranking import best_band
-from bandwise.operators.tags import CLAIM_TAGS, PREMIUM_CLAIM_TAGS, claim_map
+from bandwise.operators.tags import (
+    CLAIM_TAGS,
+    PREMIUM_CLAIM_TAGS,
+    claim_map,
+    explode_with_total,
+    tag_lists,
+)
 from bandwise.session import checkpoint_root
 from bandwise.sources.bindings import Roles
 
@@ -75,13 +82,30 @@ class OrderLines:
 
     def __init__(self, roles: Roles):
         self.raw = roles
-        self.transactions = clean_transactions(roles.transactions)
-        self.consumers = clean_consumers(roles.consumers)
-        self.products = clean_products(roles.products)
-        self.geography = roles.geography
-        self.competitors = roles.competitors
         self._table: DataFrame | None = None
 
+    # each cleaned role is planned on first use, so a report plans only the
+    # tables it reads
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return clean_transactions(self.raw.transactions)
+
+    @cached_property
+    def consumers(self) -> DataFrame:
+        return clean_consumers(self.raw.consumers)
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return clean_products(self.raw.products)
+
+    @property
+    def geography(self) -> DataFrame:
+        return self.raw.geography
+
+    @property
+    def competitors(self) -> DataFrame:
+        return self.raw.competitors
+
     def master(self, *parts: str) -> DataFrame:
         """Master with the named attribute groups (all of them if materialised)."""
         if self._table is not None:
@@ -385,20 +409,27 @@ def segment_income(lines: OrderLines) -> DataFrame:
         order=[F.col("persona"), F.desc("avg_price"), F.col("income_bracket")])
 
 
+def _tag_lists(lines: OrderLines, tags: Sequence[str], match: str) -> DataFrame:
+    lists = tag_lists(claim_map(lines.products, tags, match))
+    return bounded_broadcast(lists)[0]
+
+
 def tag_premium(lines: OrderLines, tags: Sequence[str] = PREMIUM_CLAIM_TAGS,
                 match: str = "substring") -> DataFrame:
     """Q21: mean price per claim tag against the overall mean.
 
-    Aggregated eagerly: order lines are reduced to (product, sum, count) in
-    one pass; the overall baseline comes from those rows (NULL product
-    included), and the tag fan-out joins product-level rows only.
+    One pass over the order lines: they are reduced to (product, sum, count),
+    each product row is repeated once per tag it carries plus once under a
+    NULL tag, and one aggregation gives every tag's mean and -- under the
+    NULL tag -- the overall mean over all order lines (unknown products
+    included). Only product-level rows are fanned out.
     """
     per_product = lines.master().groupBy("product_id").agg(F.sum(P).alias("_s"), rows().alias("_n"))
-    baseline = baseline_from_sums(per_product, "_s", "_n")
-    tag_rel, _ = bounded_broadcast(claim_map(lines.products, tags, match))
-    by_tag = per_product.join(tag_rel, "product_id").groupBy("claim_tag").agg(
-        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    out = lift_vs_baseline(by_tag, F.col("_s") / F.col("_n"), baseline, labels=FINDINGS_VERDICTS)
+    fanned = explode_with_total(per_product.join(_tag_lists(lines, tags, match), "product_id", "left"))
+    by_tag = fanned.groupBy("claim_tag").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    by_tag = with_baseline(by_tag, "_s", "_n", total_row=F.col("claim_tag").isNull())
+    out = lift_vs_baseline(by_tag.filter(F.col("claim_tag").isNotNull()),
+                           F.col("_s") / F.col("_n"), F.col("_baseline"), labels=FINDINGS_VERDICTS)
     return out.select("claim_tag", "avg_price", "vs_overall_avg", "verdict").orderBy(
         F.desc("avg_price"), "claim_tag")
 
@@ -407,12 +438,18 @@ def tag_premium_orders(lines: OrderLines, tags: Sequence[str] = PREMIUM_CLAIM_TA
                        match: str = "substring") -> DataFrame:
     """N5: Q21 plus distinct orders per tag, notebook verdict wording and
     ``vs_market_avg``. Distinct counting rules out the product-level
-    pre-aggregation, so tagged lines are grouped directly."""
-    baseline = lines.master().agg(money_round(F.avg(P))).scalar()
-    j = _tagged_lines(lines, tags, match, ["order_id", "product_id", "price"])
-    by_tag = j.groupBy("claim_tag").agg(F.count_distinct(OID).alias("orders"), F.avg(P).alias("_m"))
-    out = lift_vs_baseline(by_tag, F.col("_m"), baseline, diff_col="vs_market_avg",
-                           labels=NOTEBOOK_VERDICTS)
+    pre-aggregation, so order lines are fanned out per tag (plus the NULL
+    total row, whose order ids are masked so it adds no distinct work)."""
+    j = lines.master().select(OID, "product_id", P).join(
+        _tag_lists(lines, tags, match), "product_id", "left")
+    fanned = explode_with_total(j)
+    tagged = F.col("claim_tag").isNotNull()
+    by_tag = fanned.groupBy("claim_tag").agg(
+        F.count_distinct(F.when(tagged, F.col(OID))).alias("orders"),
+        F.sum(P).alias("_s"), rows().alias("_n"))
+    by_tag = with_baseline(by_tag, "_s", "_n", total_row=~tagged)
+    out = lift_vs_baseline(by_tag.filter(tagged), F.col("_s") / F.col("_n"), F.col("_baseline"),
+                           diff_col="vs_market_avg", labels=NOTEBOOK_VERDICTS)
     return out.select("claim_tag", "orders", "avg_price", "vs_market_avg", "verdict").orderBy(
         F.desc("avg_price"), "claim_tag")
 
@@ -431,10 +468,10 @@ def occasion_vs_baseline(lines: OrderLines) -> DataFrame:
     order lines (NULL occasion included). One pass: per-occasion sums with
     the NULL group, baseline from those rows, then the NULL group dropped."""
     per = lines.master("geo").groupBy("occasion").agg(rows().alias("orders"), F.sum(P).alias("_s"))
-    baseline = baseline_from_sums(per, "_s", "orders")
+    per = with_baseline(per, "_s", "orders")
     raw = F.col("_s") / F.col("orders")
     out = per.filter(_present("occasion")).select(
         "occasion", "orders", money_round(raw).alias("avg_price"),
-        money_round(raw - baseline).alias("vs_overall_avg"))
+        money_round(raw - F.col("_baseline")).alias("vs_overall_avg"))
     return out.orderBy(F.desc("avg_price"), "occasion")
 
