@@ -12,6 +12,46 @@ from bandwise.functions.text import NA_TOKENS, na_to_null
 from bandwise.sources.schemas import NUMERIC_COLUMNS, ROLE_SCHEMAS
 
 
+def text_schema(schema: T.StructType) -> T.StructType:
+    """The same columns, all read as text."""
+    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
+
+
+def coerce(raw: DataFrame, schema: T.StructType, numeric_cols: Sequence[str] = (),
+           na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+    """Text columns -> declared types, the way the reference's loader does it.
+
+    Missing-value tokens become NULL; numeric columns go through
+    ``try_cast`` so bad text becomes NULL instead of failing the job, and an
+    integer column keeps a value only when it is whole. A pure projection,
+    so it works on batch and streaming frames alike.
+    """
+    out = []
+    for field in schema:
+        text = na_to_null(F.col(field.name), na_tokens)
+        if field.name in numeric_cols:
+            number = F.expr(f"try_cast(`{field.name}` AS double)")
+            number = F.when(text.isNull(), F.lit(None)).otherwise(number)
+            if isinstance(field.dataType, (T.IntegerType, T.LongType)):
+                number = F.when(number == F.floor(number), number.cast(field.dataType))
+            col = number.cast(field.dataType)
+        else:
+            col = text.cast(field.dataType)
+        out.append(col.alias(field.name))
+    return raw.select(*out)
+
+
+def role_schema(role: str | None, schema: T.StructType | None,
+                numeric_cols: Sequence[str] | None) -> tuple[T.StructType, Sequence[str]]:
+    if schema is None:
+        if role is None:
+            raise ValueError("give a role name or a schema")
+        schema = ROLE_SCHEMAS[role]
+    if numeric_cols is None:
+        numeric_cols = NUMERIC_COLUMNS.get(role, ()) if role else ()
+    return schema, numeric_cols
+
+
 def load_table(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -20,41 +60,21 @@ def load_table(
     numeric_cols: Sequence[str] | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
 ) -> DataFrame:
-    """Read a headed CSV as one role table.
+    """Read a headed CSV as one role table (W01).
 
     Every column is read as text (no inference, so ids stay text and a missing
-    id cannot turn ``1`` into ``1.0``). Missing-value tokens become NULL; the
-    numeric columns are coerced with ``try_cast`` so bad text becomes NULL
-    instead of failing the job, and an integer column keeps a value only when
-    it is whole. The scan is split across tasks like any file source.
+    id cannot turn ``1`` into ``1.0``), then coerced by ``coerce``. The scan is
+    split across tasks like any file source.
     """
-    if schema is None:
-        if role is None:
-            raise ValueError("give a role name or a schema")
-        schema = ROLE_SCHEMAS[role]
-    if numeric_cols is None:
-        numeric_cols = NUMERIC_COLUMNS.get(role, ()) if role else ()
-    as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
+    schema, numeric_cols = role_schema(role, schema, numeric_cols)
     raw = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", False)
-        .schema(as_text)
+        .schema(text_schema(schema))
         .csv(path)
     )
-    out = []
-    for field in schema:
-        text = na_to_null(F.col(field.name), na_tokens)
-        if field.name in numeric_cols:
-            number = F.expr(f"try_cast(`{field.name}` AS double)")
-            number = F.when(text.isNull(), F.lit(None)).otherwise(number)
-            if isinstance(field.dataType, (T.IntegerType, T.LongType)):
-                number = F.when(number == F.floor(number), number.cast(field.dataType))
-            col = number.cast(field.dataType)
-        else:
-            col = text.cast(field.dataType)
-        out.append(col.alias(field.name))
-    return raw.select(*out)
+    return coerce(raw, schema, numeric_cols, na_tokens)
 
 
 def append_table(df: DataFrame, path: str) -> None:
