@@ -3,7 +3,8 @@
 Spark's exact ``percentile`` merges every distinct value of a group in one
 task. Here the values are first reduced to a histogram (value, count) --
 partial aggregation, so a value held by a third of the rows is one row per
-task -- then split into ``bins`` ordered ranges cut at approximate quantiles.
+task -- then split into ``bins`` ordered ranges cut at approximate quantiles
+of the distinct values (so each range has about 1/bins of the histogram).
 Range totals (``bins`` rows) give each range its rank offset; a window per
 range accumulates counts in value order; the rows covering the two ranks
 around ``q * (n - 1)`` are read off and interpolated linearly (the
@@ -25,9 +26,12 @@ def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 64,
         raise ValueError("q must be within [0, 1]")
     values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     hist = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    n = hist.agg(F.sum("c")).scalar()
+    # one pass over the histogram gives the count and the cut points: at
+    # approximate quantiles of the distinct values, so every range holds about
+    # the same number of histogram rows (= window rows)
     cuts = [i / bins for i in range(1, bins)]
-    edges = values.agg(F.percentile_approx("v", cuts, accuracy)).scalar()
+    stats = hist.agg(F.sum("c").alias("n"), F.percentile_approx("v", cuts, accuracy).alias("edges"))
+    n, edges = stats.select("n").scalar(), stats.select("edges").scalar()
     # bin = number of cut points <= v (cut points ascend, so bins are ordered)
     with_edges = hist.withColumn("_e", edges)
     b = F.lit(0)
