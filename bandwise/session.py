@@ -21,9 +21,30 @@ _DEFAULTS = {
 }
 
 
-def configure(spark: SparkSession, overrides: dict[str, str] | None = None) -> SparkSession:
-    """Apply the package defaults to an existing session (cluster or local)."""
-    for key, value in {**_DEFAULTS, **(overrides or {})}.items():
+def scale_settings(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Partition sizing for a run over ``input_bytes`` of (compressed) input.
+
+    Initial shuffle partitions ~ input / target, at least 200: the first
+    aggregation of order lines shuffles partial aggregates, the order-grain
+    join shuffles roughly the input, and AQE coalesces small partitions back
+    towards the advisory size, so erring high only costs scheduling while
+    erring low spills. Scans split files into ``target`` sized tasks.
+    """
+    parts = max(200, min(200_000, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+
+
+def configure(spark: SparkSession, overrides: dict[str, str] | None = None,
+              input_bytes: int | None = None) -> SparkSession:
+    """Apply the package defaults to an existing session (cluster or local);
+    with ``input_bytes``, also size partitions for that much input."""
+    sized = scale_settings(input_bytes) if input_bytes else {}
+    for key, value in {**_DEFAULTS, **sized, **(overrides or {})}.items():
         spark.conf.set(key, value)
     return spark
 
