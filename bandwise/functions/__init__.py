@@ -12,6 +12,9 @@ from bandwise.functions.buckets import (
 )
 from bandwise.functions.money import (
     MONEY,
+    cent_sum,
+    cents,
+    money,
     high,
     low,
     mean,
@@ -37,7 +40,7 @@ from bandwise.functions.text import (
 __all__ = [
     "Buckets", "PRICE_EDGES", "PRICE_BUCKETS", "PRICE_WALL_BUCKETS", "NOTEBOOK_BUCKETS",
     "INCOME_TIERS", "LAUNCH_BANDS", "NOTEBOOK_LAUNCH_BANDS",
-    "MONEY", "money_round", "to_money", "money_sum", "mean", "low", "high", "rows",
+    "MONEY", "money", "cents", "cent_sum", "money_round", "to_money", "money_sum", "mean", "low", "high", "rows",
     "per_row", "unrounded_per_row", "whole_sum", "pct", "raw_pct",
     "NA_TOKENS", "na_to_null", "is_blank", "blank_default", "has_tag", "matched_tags",
 ]

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.money import high, low, mean, rows, to_money
+from bandwise.functions.money import high, low, mean, money, rows
 from bandwise.functions.text import blank_default, is_blank
 
 # The reference's cleaning constants.
@@ -29,14 +29,15 @@ def clean_transactions(tx: DataFrame, floor: float = PRICE_FLOOR,
     """Keep floor < price <= ceiling and quantity > 0; add line_revenue.
 
     NULL price or quantity fails the comparison and is dropped. line_revenue
-    is ROUND(price * quantity, 2) held as an exact decimal, so every later sum
-    of revenue is exact and independent of partition order.
+    is ROUND(price * quantity, 2), a whole number of cents; every later sum of
+    revenue adds whole cents, so it is exact and independent of partition
+    order.
     """
     price, qty = F.col("price"), F.col("quantity")
     kept = tx.filter((price > floor) & (price <= ceiling) & (qty > 0))
     return kept.select(
         "order_id", "user_id", "product_id", "price", "quantity", "timestamp", "channel",
-        to_money(price * qty).alias("line_revenue"),
+        money(price * qty).alias("line_revenue"),
     )
 
 

@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from bandwise.functions.buckets import (
     INCOME_TIERS,
     LAUNCH_BANDS,
-    NOTEBOOK_BUCKETS,
-    NOTEBOOK_LAUNCH_BANDS,
     PRICE_BUCKETS,
     PRICE_WALL_BUCKETS,
     Buckets,
@@ -389,8 +387,8 @@ def launch_band(lines: OrderLines, bands: Buckets = LAUNCH_BANDS,
     lower band)."""
     m = lines.master("buyer", "geo").filter(_present("persona") & known_tier())
     g = m.groupBy("persona", "city_tier", bands.ordinal(P).alias("_b")).agg(
-        rows().alias(count_name), F.sum(REV).alias("_rev"))
-    score = F.col("_rev").cast("double") / F.col(count_name)
+        rows().alias(count_name), money_sum(REV).alias("_rev"))
+    score = F.col("_rev") / F.col(count_name)
     best = best_band(g, ["persona", "city_tier"], score, "_b")
     return best.select(
         "persona", "city_tier", bands.label("_b").alias(label), count_name,

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.functions.money import money_round
+from bandwise.functions.money import money
 from bandwise.functions.text import na_to_null
 from bandwise.operators.joins import bounded_broadcast
 
@@ -50,8 +50,26 @@ class Roles:
         return self._built[name]
 
 
+# Columns each binding reads, with their types as written in the test tables.
+# Declaring them skips footer-based schema inference on every open (costly
+# over many files) and makes the projection explicit.
+TABLE_COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+                "l_extendedprice double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if name in TABLE_COLUMNS:
+        return spark.read.schema(TABLE_COLUMNS[name]).parquet(path)
+    return spark.read.parquet(path)
 
 
 def _pick(values: tuple[str, ...], key: Column) -> Column:
@@ -60,7 +78,7 @@ def _pick(values: tuple[str, ...], key: Column) -> Column:
 
 def unit_price(extended: Column, quantity: Column) -> Column:
     """Per-unit price scaled into the consumer range: ext / qty / 50, in cents."""
-    return money_round(F.try_divide(F.try_divide(extended, quantity), F.lit(50.0)))
+    return money(F.try_divide(F.try_divide(extended, quantity), F.lit(50.0)))
 
 
 def transactions_a(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
@@ -210,7 +228,7 @@ class _Tables:
 
     def __call__(self, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if name not in self._open:
-            self._open[name] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+            self._open[name] = _read(spark, sf_dir, name)
         return self._open[name]
 
 

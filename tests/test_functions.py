@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandwise.functions.buckets import PRICE_BUCKETS, Buckets
-from bandwise.functions.money import money_round, pct
+from bandwise.functions.money import cent_sum, money, money_round, pct
 from bandwise.functions.text import blank_default, has_tag, is_blank, matched_tags, na_to_null
 
 
@@ -61,3 +61,18 @@ def test_text_helpers(spark):
     assert not one(spark, is_blank(F.col("x")), "\t", "x string")  # TRIM removes spaces only
     assert one(spark, blank_default(F.col("x"), "unlisted"), " ", "x string") == "unlisted"
     assert one(spark, blank_default(F.col("x"), "unlisted"), " oats ", "x string") == "oats"
+
+
+def test_per_row_money_equals_decimal_rule(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    vals = [float(v) for v in np.round(rng.uniform(-500, 500, 5000), 3)]
+    vals += [float(v) for v in rng.uniform(0, 3e6, 2000)] + [1.005, 29.985, -0.005, 899999.995]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    diff = df.filter(money("x") != money_round("x")).count()
+    assert diff == 0
+
+
+def test_cent_sum_is_exact(spark):
+    df = spark.createDataFrame([(0.1,)] * 1000 + [(0.2,)] * 1000, "x double")
+    assert df.agg(cent_sum("x").alias("c")).first()["c"] == 30000
