@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import OrderedDict
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ class Size:
 
 
     def fits(self, max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES) -> bool:
-        return self.rows <= max_rows and self.bytes <= max_bytes
+        return 0 <= self.rows <= max_rows and self.bytes <= max_bytes
 
 
 def _size_row(df: DataFrame, name: str) -> DataFrame:
@@ -58,17 +59,63 @@ def _proof_key(df: DataFrame) -> tuple:
     return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), files)
 
 
-def measure_many(frames: dict[str, DataFrame], reuse: bool = True) -> dict[str, Size]:
+_FILE_BYTES: OrderedDict[tuple, int] = OrderedDict()
+_EMPTY_AUTHORITY = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):///")
+
+
+def _norm(path: str) -> str:
+    """``file:///x`` and ``file:/x`` name the same file."""
+    return _EMPTY_AUTHORITY.sub(r"\1:/", path)
+
+
+def input_bytes_many(frames: dict[str, DataFrame]) -> dict[str, int]:
+    """Bytes of the files each DataFrame reads (0 for data without files).
+
+    One metadata-only listing for all of them (the binary-file source reads
+    no content when only the length is selected); lengths are remembered per
+    application and path.
+    """
+    if not frames:
+        return {}
+    spark = next(iter(frames.values())).sparkSession
+    app = spark.sparkContext.applicationId
+    files = {name: sorted(_norm(f) for f in df.inputFiles()) for name, df in frames.items()}
+    missing = sorted({f for fs in files.values() for f in fs if (app, f) not in _FILE_BYTES})
+    if missing:
+        for r in spark.read.format("binaryFile").load(missing).select("path", "length").collect():
+            _FILE_BYTES[(app, _norm(r["path"]))] = int(r["length"])
+        while len(_FILE_BYTES) > 64 * _PROOF_SLOTS:
+            _FILE_BYTES.popitem(last=False)
+    return {name: sum(_FILE_BYTES.get((app, f), 0) for f in fs) for name, fs in files.items()}
+
+
+def measure_many(frames: dict[str, DataFrame], reuse: bool = True,
+                 skip_above_bytes: int | None = None,
+                 skippable: set[str] | None = None) -> dict[str, Size]:
     """Exact row counts and size estimates of several DataFrames in one job.
 
     Each is a global aggregate (partial counts per task, one row per task
     shuffled); the union of the one-row results is collected: as many rows
     as there are inputs. Sizes proven earlier in the same application for the
     same plan over the same files are reused instead of recomputed.
+
+    With ``skip_above_bytes``, a frame (among ``skippable``, default all)
+    whose input files alone exceed it is not scanned: compressed files take
+    no more room than the decoded rows, so it cannot fit; it is reported with
+    its file bytes and an unknown (negative) row count.
     """
+    if skippable is None:
+        skippable = set(frames)
     out: dict[str, Size] = {}
     todo: dict[str, tuple[DataFrame, tuple]] = {}
+    if skip_above_bytes is not None:
+        on_disk = input_bytes_many({n: f for n, f in frames.items() if n in skippable})
+        for name, nbytes in on_disk.items():
+            if nbytes > skip_above_bytes:
+                out[name] = Size(-1, nbytes)
     for name, df in frames.items():
+        if name in out:
+            continue
         key = _proof_key(df)
         hit = _PROOFS.get(key) if reuse else None
         if hit is not None and hit[0].sameSemantics(df):
@@ -102,7 +149,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
     """``(broadcast(df), True)`` when its measured size is within the bound,
     else ``(df, False)`` so the planner shuffles both sides (sort-merge join,
     with AQE splitting skewed partitions). Pass ``size`` if already measured."""
-    size = size or measure(df)
+    size = size or measure_many({"df": df}, skip_above_bytes=max_bytes)["df"]
     if size.fits(max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False

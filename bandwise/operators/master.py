@@ -89,11 +89,17 @@ def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
     if unknown:
         raise ValueError(f"unknown master parts {sorted(unknown)}")
     dims = {"buyer": consumers, "product": products, "geo": geography}
-    right = {}
+    right, repeats = {}, {}
     for part, (key, cols) in PARTS.items():
         dim = dims[part]
-        right[part] = dim.select(key, *cols) if part in need else repeated_keys(dim.select(key), key)
-    sizes = measure_many(right)
+        if part in need:
+            right[part] = dim.select(key, *cols)
+        else:
+            repeats[part] = repeated_keys(dim.select(key), key)
+    # one job: needed sides are not scanned when their files alone exceed
+    # the bound; repeated keys are always counted (the uniqueness proof)
+    sizes = measure_many({**right, **repeats}, skip_above_bytes=max_bytes, skippable=set(right))
+    right.update(repeats)
     master = tx.select(*ORDER_PART)
     for part, (key, _cols) in PARTS.items():
         if part in need:

@@ -62,3 +62,15 @@ def test_tag_fanout_is_one_product_scan(parquet_lines):
     text = plan(r.tag_performance(parquet_lines))
     assert text.count("products.parquet") == 1  # one pass, not one scan per tag
     assert "Union" not in text
+
+
+def test_large_inputs_are_not_scanned_to_decide_a_broadcast(spark, parquet_lines):
+    from bandwise.operators.joins import bounded_broadcast, input_bytes_many, measure_many
+    geo = parquet_lines.geography
+    on_disk = input_bytes_many({"g": geo})["g"]
+    assert on_disk > 0
+    sized = measure_many({"g": geo}, skip_above_bytes=on_disk - 1)["g"]
+    assert sized.rows == -1 and not sized.fits()
+    _, broadcast = bounded_broadcast(geo, max_bytes=on_disk - 1)
+    assert not broadcast
+    assert measure_many({"g": geo}, skip_above_bytes=on_disk + 1)["g"].rows == 5
