@@ -33,6 +33,7 @@ class Entry:
 SHARED_ROLES = {"w03", "w04", "w05", "w06"}
 
 ENTRIES: tuple[Entry, ...] = (
+    Entry("w01", "csv_load_transactions", r.csv_round_trip),
     Entry("w02", "clean_transactions", r.cleaned_transactions),
     Entry("w03", "clean_consumers", r.cleaned_consumers, ("a",)),
     Entry("w04", "clean_products", r.cleaned_products, ("a",)),

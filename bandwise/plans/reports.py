@@ -63,6 +63,7 @@ from bandwise.operators.tags import (
 )
 from bandwise.session import checkpoint_root
 from bandwise.sources.bindings import Roles
+from bandwise.sources.csv import load_table
 
 P, Q, REV, OID = "price", "quantity", "line_revenue", "order_id"
 
@@ -134,6 +135,16 @@ def _ordered(df: DataFrame, buckets: Buckets, label: str, cols: Sequence[str],
 
 # ---------------------------------------------------------------- work list A
 
+def csv_round_trip(lines: OrderLines, role: str = "transactions") -> DataFrame:
+    """W01 on the given tables: the role is written as headed CSV text to the
+    shared checkpoint folder and read back with the loader (all-text read,
+    missing tokens, ``try_cast`` numbers), as the reference loads its CSVs."""
+    spark = lines.raw.transactions.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/csv-{role}-{uuid.uuid4().hex}"
+    lines.raw.transactions.write.option("header", True).csv(path)
+    return load_table(spark, path, role)
+
+
 def cleaned_transactions(lines: OrderLines) -> DataFrame:
     return lines.transactions
 

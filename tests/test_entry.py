@@ -14,6 +14,6 @@ def test_entry_runs_on_smoke_tables(spark):
 def test_every_query_has_oracle_and_distinct_key():
     q, o = ent.queries(), ent.oracle_sql()
     assert set(q) == set(o)
-    assert len(q) == 65
+    assert len(q) == 67
     for name in q:
         assert name.split("_")[0][0] in "wqn"
