@@ -24,7 +24,8 @@ class Size:
     bytes: int
 
 
-    def fits(self, max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES) -> bool:
+    def fits(self, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+        max_rows, max_bytes = limits(max_rows, max_bytes)
         return 0 <= self.rows <= max_rows and self.bytes <= max_bytes
 
 
@@ -143,12 +144,19 @@ def measure(df: DataFrame) -> Size:
     return measure_many({"df": df})["df"]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BYTES,
+def limits(max_rows: int | None = None, max_bytes: int | None = None) -> tuple[int, int]:
+    """The broadcast bound, defaulting to the module settings at call time."""
+    return (DEFAULT_MAX_ROWS if max_rows is None else max_rows,
+            DEFAULT_MAX_BYTES if max_bytes is None else max_bytes)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
+                      max_bytes: int | None = None,
                       size: Size | None = None) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when its measured size is within the bound,
     else ``(df, False)`` so the planner shuffles both sides (sort-merge join,
     with AQE splitting skewed partitions). Pass ``size`` if already measured."""
+    max_rows, max_bytes = limits(max_rows, max_bytes)
     size = size or measure_many({"df": df}, skip_above_bytes=max_bytes)["df"]
     if size.fits(max_rows, max_bytes):
         return F.broadcast(df), True

@@ -25,14 +25,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.operators.joins import (
-    DEFAULT_MAX_BYTES,
-    DEFAULT_MAX_ROWS,
-    Size,
-    bounded_broadcast,
-    measure,
-    measure_many,
-)
+from bandwise.operators.joins import Size, bounded_broadcast, limits, measure, measure_many
 from bandwise.sources.schemas import CONSUMER_PART, GEOGRAPHY_PART, MASTER_COLUMNS, PRODUCT_PART
 
 PARTS = {
@@ -52,13 +45,14 @@ def repeated_keys(dim: DataFrame, key: str) -> DataFrame:
 
 
 def keep_fanout(lines: DataFrame, dim: DataFrame, key: str,
-                max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES,
+                max_rows: int | None = None, max_bytes: int | None = None,
                 size: Size | None = None) -> DataFrame:
     """``lines LEFT JOIN dim USING (key)`` projected back onto ``lines``.
 
     Equal rows to the join, without reading the dimension's attributes.
     ``size`` is the measured size of ``repeated_keys(dim, key)`` if known.
     """
+    max_rows, max_bytes = limits(max_rows, max_bytes)
     repeated = repeated_keys(dim, key)
     size = size or measure(repeated)
     if size.rows == 0:
@@ -72,8 +66,8 @@ def keep_fanout(lines: DataFrame, dim: DataFrame, key: str,
 
 def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
                  geography: DataFrame, need: Iterable[str] = ALL_PARTS,
-                 max_rows: int = DEFAULT_MAX_ROWS,
-                 max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+                 max_rows: int | None = None,
+                 max_bytes: int | None = None) -> DataFrame:
     """Wide order-line table from cleaned order lines, cleaned buyers, cleaned
     products and raw order geography. ``need`` names the attribute groups the
     caller reads (``buyer``, ``product``, ``geo``); the others only keep their
@@ -84,6 +78,7 @@ def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
     the needed ones in full (broadcast or shuffle), the others by their
     repeated keys only (drop the join, broadcast the repeats, or join on key).
     """
+    max_rows, max_bytes = limits(max_rows, max_bytes)
     need = set(need)
     unknown = need - set(PARTS)
     if unknown:
