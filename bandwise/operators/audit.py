@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bandwise.functions.money import money_round
 from bandwise.functions.text import is_blank
 from bandwise.operators.cleaning import CATEGORY_CORRECTIONS, UNKNOWN_TIER
-from bandwise.operators.quantile import exact_percentile
+from bandwise.operators.quantile import histogram, percentile_of_histogram
 
 
 def _long(df: DataFrame, source: str, checks: Mapping[str, Column]) -> DataFrame:
@@ -31,11 +31,14 @@ def quality_audit(transactions: DataFrame, consumers: DataFrame, products: DataF
     (interpolated) and computed without collecting prices in one task.
     """
     price = F.col("price")
-    tx = _long(transactions, "transactions", {
-        "negative_prices": F.count_if(price < 0),
-        "max_price": F.max(price),
+    # every price check reads the (value, count) histogram of the prices, so
+    # the order lines are reduced once and the checks run on distinct values
+    hist = histogram(transactions, "price")
+    tx = _long(hist, "transactions", {
+        "negative_prices": F.coalesce(F.sum(F.when(F.col("v") < 0, F.col("c"))), F.lit(0)),
+        "max_price": F.max("v"),
     })
-    p99 = exact_percentile(transactions, "price", q).select(
+    p99 = percentile_of_histogram(hist, q).select(
         F.lit("transactions").alias("source"),
         F.lit(f"p{round(q * 100):d}_price").alias("check_name"),
         money_round("value").alias("value"))

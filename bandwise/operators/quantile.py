@@ -18,14 +18,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def histogram(df: DataFrame, col: str) -> DataFrame:
+    """(v, c): each distinct non-NULL value of ``col`` and how often it occurs.
+    Partial aggregation first, so a hot value costs one row per task."""
+    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    return values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+
+
 def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 64,
                      accuracy: int = 10_000) -> DataFrame:
     """One-row DataFrame with column ``value``: the interpolated q-quantile of
     the non-NULL values of ``col`` (NULL when there are none)."""
+    return percentile_of_histogram(histogram(df, col), q, bins, accuracy)
+
+
+def percentile_of_histogram(hist: DataFrame, q: float, bins: int = 64,
+                            accuracy: int = 10_000) -> DataFrame:
+    """``exact_percentile`` over a (v, c) histogram built by ``histogram``."""
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be within [0, 1]")
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    hist = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     # one pass over the histogram gives the count and the cut points: at
     # approximate quantiles of the distinct values, so every range holds about
     # the same number of histogram rows (= window rows)
