@@ -103,10 +103,11 @@ def whole_sum(c: Column | str) -> Column:
 
 
 def pct(part: Column | str, whole: Column | str) -> Column:
-    """ROUND(100 * part / whole, 2) computed in double precision."""
-    return money_round(F.lit(100.0) * _col(part) / _col(whole))
+    """ROUND(100 * part / whole, 2) computed in double precision; NULL when
+    ``whole`` is 0 (SQL engines without ANSI errors return NULL there)."""
+    return money_round(raw_pct(part, whole))
 
 
 def raw_pct(part: Column | str, whole: Column | str) -> Column:
     """100 * part / whole without rounding (for threshold tests)."""
-    return F.lit(100.0) * _col(part) / _col(whole)
+    return F.try_divide(F.lit(100.0) * _col(part), _col(whole).cast("double"))

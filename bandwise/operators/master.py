@@ -39,9 +39,10 @@ ORDER_PART = ("order_id", "user_id", "product_id", "price", "quantity", "line_re
 
 
 def repeated_keys(dim: DataFrame, key: str) -> DataFrame:
-    """Keys that occur more than once on the right side, with their copies."""
-    return (dim.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-            .filter(F.col("_copies") > 1))
+    """Keys that occur more than once on the right side, with their copies.
+    NULL keys never match in a join, so they cannot multiply a line."""
+    return (dim.filter(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1))
 
 
 def keep_fanout(lines: DataFrame, dim: DataFrame, key: str,
@@ -94,7 +95,6 @@ def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
     # one job: needed sides are not scanned when their files alone exceed
     # the bound; repeated keys are always counted (the uniqueness proof)
     sizes = measure_many({**right, **repeats}, skip_above_bytes=max_bytes, skippable=set(right))
-    right.update(repeats)
     master = tx.select(*ORDER_PART)
     for part, (key, _cols) in PARTS.items():
         if part in need:

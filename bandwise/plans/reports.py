@@ -252,7 +252,7 @@ def segment_price_summary(lines: OrderLines, notebook: bool = False) -> DataFram
     }
     if not notebook:
         measures["price_variance_pct"] = money_round(
-            F.lit(100.0) * F.var_pop(P) / (F.avg(P) * F.avg(P)))
+            F.try_divide(F.lit(100.0) * F.var_pop(P), F.avg(P) * F.avg(P)))
     out = segment_summary(lines.master("buyer"), ["persona"], measures, where=_present("persona"))
     if notebook:
         out = out.select("persona", "orders", "avg_price", "min_price", "max_price", "total_revenue")
