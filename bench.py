@@ -55,14 +55,17 @@ def main() -> None:
                 samples.append(time.perf_counter() - t0)
         timings[key] = round(statistics.median(samples), 3)
 
-    suite = None
+    suite, suite_parts = None, {}
     if not only:
         t0 = time.perf_counter()
         lines = order_lines(spark, sf_dir, "b")
         lines.materialize()
+        suite_parts["materialize_master"] = round(time.perf_counter() - t0, 3)
         for entry in ENTRIES:
             if entry.qid.startswith("q"):
+                t1 = time.perf_counter()
                 run_noop(entry.build(lines))
+                suite_parts[entry.qid] = round(time.perf_counter() - t1, 3)
         suite = round(time.perf_counter() - t0, 3)
 
     sf = os.path.basename(sf_dir).replace("sf", "")
@@ -72,6 +75,7 @@ def main() -> None:
         "unit": "sec",
         "queries": timings,
         "suite_sec": suite,
+        "suite_parts": suite_parts,
         "sf": sf,
         "cpus": cpus,
         "runs": runs,
