@@ -2,5 +2,6 @@
 
 from bandwise.plans.catalog import ENTRIES, oracle_registry, order_lines, registry
 from bandwise.plans.reports import OrderLines
+from bandwise.plans.views import register_views
 
-__all__ = ["ENTRIES", "OrderLines", "oracle_registry", "order_lines", "registry"]
+__all__ = ["ENTRIES", "OrderLines", "oracle_registry", "order_lines", "register_views", "registry"]

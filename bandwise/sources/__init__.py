@@ -1,8 +1,8 @@
 """Inputs: role schemas, CSV ingest, bindings of parquet tables to roles."""
 
 from bandwise.sources.bindings import Roles, bind
-from bandwise.sources.csv import append_table, load_table
+from bandwise.sources.csv import append_table, load_table, replace_table
 from bandwise.sources.schemas import MASTER_COLUMNS, NUMERIC_COLUMNS, ROLE_SCHEMAS
 
-__all__ = ["Roles", "bind", "load_table", "append_table", "MASTER_COLUMNS",
+__all__ = ["Roles", "bind", "load_table", "append_table", "replace_table", "MASTER_COLUMNS",
            "NUMERIC_COLUMNS", "ROLE_SCHEMAS"]

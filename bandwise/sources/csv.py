@@ -80,3 +80,9 @@ def load_table(
 def append_table(df: DataFrame, path: str) -> None:
     """Append the loaded rows to a parquet table (the reference's INSERT)."""
     df.write.mode("append").parquet(path)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace the parquet table with these rows (the reference's drop and
+    re-create before a full reload)."""
+    df.write.mode("overwrite").parquet(path)
