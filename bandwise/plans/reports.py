@@ -25,6 +25,7 @@ from bandwise.functions.buckets import (
     Buckets,
 )
 from bandwise.functions.money import (
+    cent_sum,
     high,
     low,
     mean,
@@ -297,11 +298,17 @@ def tag_performance(lines: OrderLines, tags: Sequence[str] = CLAIM_TAGS,
                     match: str = "substring") -> DataFrame:
     """Q08: distinct orders, mean price, revenue, mean units per claim tag."""
     j = _tagged_lines(lines, tags, match, ["order_id", "product_id", "price", "quantity", "line_revenue"])
-    out = j.groupBy("claim_tag").agg(
-        F.count_distinct(OID).alias("order_count"),
-        mean(P).alias("avg_price"),
-        money_sum(REV).alias("total_revenue"),
-        mean(Q).alias("avg_units_per_order"),
+    # two-level aggregation instead of COUNT(DISTINCT) beside other
+    # aggregates (which Spark plans with an Expand that doubles every row):
+    # (tag, order) pre-aggregates carry decomposable sums, and the distinct
+    # orders of a tag are simply its (tag, order) rows
+    per_order = j.groupBy("claim_tag", OID).agg(
+        F.sum(P).alias("_p"), rows().alias("_n"), cent_sum(REV).alias("_c"), F.sum(Q).alias("_q"))
+    out = per_order.groupBy("claim_tag").agg(
+        rows().alias("order_count"),
+        money_round(F.sum("_p") / F.sum("_n")).alias("avg_price"),
+        (F.sum("_c") / F.lit(100.0)).alias("total_revenue"),
+        money_round(F.sum("_q") / F.sum("_n")).alias("avg_units_per_order"),
     )
     return out.orderBy(F.desc("avg_price"), "claim_tag")
 
@@ -453,9 +460,12 @@ def tag_premium_orders(lines: OrderLines, tags: Sequence[str] = PREMIUM_CLAIM_TA
         _tag_lists(lines, tags, match), "product_id", "left")
     fanned = explode_with_total(j)
     tagged = F.col("claim_tag").isNotNull()
-    by_tag = fanned.groupBy("claim_tag").agg(
-        F.count_distinct(F.when(tagged, F.col(OID))).alias("orders"),
+    # (tag, order) pre-aggregates; the total rows get a NULL order key so they
+    # collapse to one group instead of one per order
+    per_order = fanned.groupBy("claim_tag", F.when(tagged, F.col(OID)).alias("_o")).agg(
         F.sum(P).alias("_s"), rows().alias("_n"))
+    by_tag = per_order.groupBy("claim_tag").agg(
+        F.count("_o").alias("orders"), F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     by_tag = with_baseline(by_tag, "_s", "_n", total_row=~tagged)
     out = lift_vs_baseline(by_tag.filter(tagged), F.col("_s") / F.col("_n"), F.col("_baseline"),
                            diff_col="vs_market_avg", labels=NOTEBOOK_VERDICTS)
