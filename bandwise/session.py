@@ -50,7 +50,7 @@ def configure(spark: SparkSession, overrides: dict[str, str] | None = None,
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "bandwise") -> SparkSession:
+                  app_name: str = "bandwise", conf: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests and the bench; the UI server stays off."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -59,7 +59,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
     )
-    for key, value in _DEFAULTS.items():
+    for key, value in {**_DEFAULTS, **(conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

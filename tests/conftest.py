@@ -16,7 +16,8 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("*", 8, app_name="bandwise-tests")
+    warehouse = tempfile.mkdtemp(prefix="bandwise-test-warehouse-")
+    s = local_session("*", 8, app_name="bandwise-tests", conf={"spark.sql.warehouse.dir": warehouse})
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bandwise-test-ckpt-"))
     yield s
