@@ -33,20 +33,25 @@ DIETS = ("none", "vegetarian", "NA", "vegan", "None", "halal")
 
 
 class Roles:
-    """The five role tables of one binding, each built on first use from
-    tables read at most once (a report that needs two roles plans two)."""
+    """The five role tables of one data set. Each is given as a DataFrame or
+    as a zero-argument builder that is called on first use, so a report plans
+    only the roles it reads."""
 
     _NAMES = ("transactions", "consumers", "products", "geography", "competitors")
 
-    def __init__(self, **builders):
-        self._builders = builders
+    def __init__(self, **roles):
+        missing = set(Roles._NAMES) - set(roles)
+        if missing:
+            raise ValueError(f"missing roles {sorted(missing)}")
+        self._builders = roles
         self._built: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in Roles._NAMES:
             raise AttributeError(name)
         if name not in self._built:
-            self._built[name] = self._builders[name]()
+            role = self._builders[name]
+            self._built[name] = role if isinstance(role, DataFrame) else role()
         return self._built[name]
 
 
