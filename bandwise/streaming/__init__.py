@@ -20,7 +20,7 @@ and are computed by the batch reports on the ingested table.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +33,11 @@ from bandwise.session import checkpoint_root
 from bandwise.sources.csv import coerce, role_schema, text_schema
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+def _checkpoint(spark: SparkSession, name: str, target: str) -> str:
+    """Checkpoint folder of one query, derived from what it writes, so a
+    restarted query resumes from its own offsets and commit log."""
+    digest = hashlib.sha1(target.encode()).hexdigest()[:16]
+    return f"{checkpoint_root(spark).rstrip('/')}/stream-{name}-{digest}"
 
 
 def read_role_stream(spark: SparkSession, landing: str, role: str,
@@ -53,7 +56,7 @@ def ingest_role(spark: SparkSession, landing: str, role: str, table: str,
     ``table``; with ``once`` the query processes what is there and stops."""
     stream = read_role_stream(spark, landing, role)
     writer = (stream.writeStream.format("parquet")
-              .option("checkpointLocation", checkpoint or _checkpoint(spark, role))
+              .option("checkpointLocation", checkpoint or _checkpoint(spark, role, table))
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
     return writer.start(table)
@@ -76,5 +79,5 @@ def run_bucket_counts(spark: SparkSession, landing: str, name: str,
     published as the in-memory table ``name`` (complete mode)."""
     counts = bucket_counts(read_role_stream(spark, landing, "transactions"))
     return (counts.writeStream.outputMode("complete").format("memory").queryName(name)
-            .option("checkpointLocation", checkpoint or _checkpoint(spark, name))
+            .option("checkpointLocation", checkpoint or _checkpoint(spark, name, landing + name))
             .trigger(availableNow=True).start())

@@ -41,3 +41,11 @@ def test_running_bucket_counts_equal_batch_report(spark, scratch):
     batch = rows(r.price_bucket_distribution(fixture_lines(spark, scratch)),
                  "price_bucket", "order_count")
     assert streamed == batch
+
+
+def test_default_checkpoint_resumes(spark, scratch):
+    landing, table = os.path.join(scratch, "landing3"), os.path.join(scratch, "table3")
+    _split_csv(TRANSACTIONS, landing, 2)
+    ingest_role(spark, landing, "transactions", table).awaitTermination()
+    ingest_role(spark, landing, "transactions", table).awaitTermination()  # same default checkpoint
+    assert spark.read.parquet(table).count() == 12
