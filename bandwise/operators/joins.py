@@ -55,9 +55,10 @@ _PROOFS: OrderedDict[tuple, tuple[DataFrame, Size]] = OrderedDict()
 _PROOF_SLOTS = 256
 
 
-def _proof_key(df: DataFrame) -> tuple:
-    files = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
-    return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), files)
+def _proof_key(df: DataFrame, files: list[str] | None = None) -> tuple:
+    files = sorted(df.inputFiles()) if files is None else files
+    digest = hashlib.sha1("\n".join(files).encode()).hexdigest()
+    return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), digest)
 
 
 _FILE_BYTES: OrderedDict[tuple, int] = OrderedDict()
@@ -69,7 +70,8 @@ def _norm(path: str) -> str:
     return _EMPTY_AUTHORITY.sub(r"\1:/", path)
 
 
-def input_bytes_many(frames: dict[str, DataFrame]) -> dict[str, int]:
+def input_bytes_many(frames: dict[str, DataFrame],
+                     files: dict[str, list[str]] | None = None) -> dict[str, int]:
     """Bytes of the files each DataFrame reads (0 for data without files).
 
     One metadata-only listing for all of them (the binary-file source reads
@@ -80,7 +82,8 @@ def input_bytes_many(frames: dict[str, DataFrame]) -> dict[str, int]:
         return {}
     spark = next(iter(frames.values())).sparkSession
     app = spark.sparkContext.applicationId
-    files = {name: sorted(_norm(f) for f in df.inputFiles()) for name, df in frames.items()}
+    listed = files or {name: sorted(df.inputFiles()) for name, df in frames.items()}
+    files = {name: sorted(_norm(f) for f in listed[name]) for name in frames}
     missing = sorted({f for fs in files.values() for f in fs if (app, f) not in _FILE_BYTES})
     if missing:
         for r in spark.read.format("binaryFile").load(missing).select("path", "length").collect():
@@ -109,15 +112,16 @@ def measure_many(frames: dict[str, DataFrame], reuse: bool = True,
         skippable = set(frames)
     out: dict[str, Size] = {}
     todo: dict[str, tuple[DataFrame, tuple]] = {}
+    files = {name: sorted(df.inputFiles()) for name, df in frames.items()}
     if skip_above_bytes is not None:
-        on_disk = input_bytes_many({n: f for n, f in frames.items() if n in skippable})
+        on_disk = input_bytes_many({n: f for n, f in frames.items() if n in skippable}, files)
         for name, nbytes in on_disk.items():
             if nbytes > skip_above_bytes:
                 out[name] = Size(-1, nbytes)
     for name, df in frames.items():
         if name in out:
             continue
-        key = _proof_key(df)
+        key = _proof_key(df, files[name])
         hit = _PROOFS.get(key) if reuse else None
         if hit is not None and hit[0].sameSemantics(df):
             _PROOFS.move_to_end(key)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwise.functions.money import money
-from bandwise.functions.text import na_to_null
+from bandwise.functions.text import NA_TOKENS
 from bandwise.operators.joins import bounded_broadcast
 
 # Fixed values of the bindings (test-data conventions, not reference data).
@@ -77,8 +77,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _pick(values: tuple[str, ...], key: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int") + 1)
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _pick(values: tuple[str, ...], key: str) -> str:
+    """SQL: the value at position key mod len(values)."""
+    return f"element_at(array({_sql_list(values)}), CAST({key} % {len(values)} AS INT) + 1)"
 
 
 def unit_price(extended: Column, quantity: Column) -> Column:
@@ -88,16 +93,14 @@ def unit_price(extended: Column, quantity: Column) -> Column:
 
 def transactions_a(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
     read = reader or _read
-    ev = read(spark, sf_dir, "events")
-    eid = F.col("event_id")
-    return ev.select(
-        eid.alias("order_id"),
-        F.col("user_id"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("product_id"),
-        F.when(eid % 47 == 0, -F.col("value")).otherwise(F.col("value")).alias("price"),
-        (F.lit(1) + eid % 5).cast("int").alias("quantity"),
-        F.col("ts").cast("string").alias("timestamp"),
-        F.col("event_type").alias("channel"),
+    return read(spark, sf_dir, "events").selectExpr(
+        "event_id AS order_id",
+        "user_id",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS product_id",
+        "CASE WHEN event_id % 47 = 0 THEN -value ELSE value END AS price",
+        "CAST(1 + event_id % 5 AS INT) AS quantity",
+        "CAST(ts AS STRING) AS `timestamp`",
+        "event_type AS channel",
     )
 
 
@@ -125,57 +128,37 @@ def transactions_b(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
 
 def consumers(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
     read = reader or _read
-    c = read(spark, sf_dir, "customer")
-    key, seg = F.col("c_custkey"), F.col("c_mktsegment")
-    persona = (
-        F.when(key % 19 == 0, F.lit(None).cast("string"))
-        .when(key % 18 == 0, F.lit("  "))
-        .when(key % 7 == 0, F.concat(F.lit(" "), seg, F.lit(" ")))
-        .otherwise(seg)
-    )
-    income = (
-        F.when(F.col("c_acctbal") < 2000, "low")
-        .when(F.col("c_acctbal") < 6000, "middle")
-        .otherwise("high")
-    )
-    return c.select(
-        key.alias("user_id"),
-        persona.alias("persona"),
-        F.concat(F.lit("trend_"), (F.col("c_nationkey") % 5).cast("string")).alias("trend_affinity"),
-        _pick(AGE_GROUPS, key).alias("age_group"),
-        _pick(GENDERS, key).alias("gender_identity"),
-        income.alias("income_bracket"),
-        na_to_null(_pick(DIETS, key)).alias("dietary_restriction"),
+    diet = _pick(DIETS, "c_custkey")
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS user_id",
+        "CASE WHEN c_custkey % 19 = 0 THEN NULL"
+        " WHEN c_custkey % 18 = 0 THEN '  '"
+        " WHEN c_custkey % 7 = 0 THEN concat(' ', c_mktsegment, ' ')"
+        " ELSE c_mktsegment END AS persona",
+        "concat('trend_', CAST(c_nationkey % 5 AS STRING)) AS trend_affinity",
+        f"{_pick(AGE_GROUPS, 'c_custkey')} AS age_group",
+        f"{_pick(GENDERS, 'c_custkey')} AS gender_identity",
+        "CASE WHEN c_acctbal < 2000 THEN 'low' WHEN c_acctbal < 6000 THEN 'middle'"
+        " ELSE 'high' END AS income_bracket",
+        f"CASE WHEN {diet} IN ({_sql_list(NA_TOKENS)}) THEN NULL ELSE {diet} END"
+        " AS dietary_restriction",
     )
 
 
 def products(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
     read = reader or _read
-    p = read(spark, sf_dir, "part")
-    key, name = F.col("p_partkey"), F.col("p_name")
-    category = (
-        F.when(key % 23 == 0, F.lit(None).cast("string"))
-        .when(key % 29 == 0, F.lit(""))
-        .when(key % 11 == 0, F.lit("Proten Shake"))
-        .when(key % 13 == 0, F.lit("Protein bar "))
-        .otherwise(F.col("p_type"))
-    )
-    claims = (
-        F.when(key % 31 == 0, F.lit(None).cast("string"))
-        .when(key % 3 == 0, F.upper(name))
-        .otherwise(name)
-    )
-    pack = (
-        F.when(F.col("p_size") <= 10, "single")
-        .when(F.col("p_size") <= 30, "4-pack")
-        .otherwise("12-pack")
-    )
-    return p.select(
-        key.alias("product_id"),
-        category.alias("category"),
-        claims.alias("claims"),
-        F.when(key % 9 == 0, F.lit(" ")).otherwise(F.col("p_brand")).alias("ingredient_tags"),
-        pack.alias("pack_size"),
+    return read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "CASE WHEN p_partkey % 23 = 0 THEN NULL"
+        " WHEN p_partkey % 29 = 0 THEN ''"
+        " WHEN p_partkey % 11 = 0 THEN 'Proten Shake'"
+        " WHEN p_partkey % 13 = 0 THEN 'Protein bar '"
+        " ELSE p_type END AS category",
+        "CASE WHEN p_partkey % 31 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN upper(p_name)"
+        " ELSE p_name END AS claims",
+        "CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE p_brand END AS ingredient_tags",
+        "CASE WHEN p_size <= 10 THEN 'single' WHEN p_size <= 30 THEN '4-pack'"
+        " ELSE '12-pack' END AS pack_size",
     )
 
 
@@ -185,28 +168,24 @@ def geography(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     cust = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    tier = (
-        F.when(key % 10 == 0, F.lit("Unknown"))
-        .when(key % 11 == 0, F.lit(None).cast("string"))
-        .when(status == "F", F.lit("Tier 1"))
-        .when(status == "O", F.lit("Tier 2"))
-        .when(status == "P", F.lit("Tier 3"))
-    )
     cust, _ = bounded_broadcast(cust)
     located = (
-        orders.filter(key % 20 != 3)
+        orders.filter("o_orderkey % 20 <> 3")
         .join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
         # nation has 25 rows at every scale factor (fixed by the schema's
         # definition), so it is broadcast; customer grows with the data and is
         # broadcast only within the measured bound.
         .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     )
-    return located.select(
-        key.alias("order_id"),
-        F.col("n_name").alias("state"),
-        tier.alias("city_tier"),
-        F.col("o_orderpriority").alias("occasion"),
+    return located.selectExpr(
+        "o_orderkey AS order_id",
+        "n_name AS state",
+        "CASE WHEN o_orderkey % 10 = 0 THEN 'Unknown'"
+        " WHEN o_orderkey % 11 = 0 THEN NULL"
+        " WHEN o_orderstatus = 'F' THEN 'Tier 1'"
+        " WHEN o_orderstatus = 'O' THEN 'Tier 2'"
+        " WHEN o_orderstatus = 'P' THEN 'Tier 3' END AS city_tier",
+        "o_orderpriority AS occasion",
     )
 
 
