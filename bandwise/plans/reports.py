@@ -11,8 +11,9 @@ shuffle; windows and final sorts run on grouped rows only.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import cached_property
+from typing import Union
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,18 +25,8 @@ from bandwise.functions.buckets import (
     PRICE_WALL_BUCKETS,
     Buckets,
 )
-from bandwise.functions.money import (
-    cent_sum,
-    high,
-    low,
-    mean,
-    money_round,
-    money_sum,
-    per_row,
-    rows,
-    whole_sum,
-)
-from bandwise.operators.aggregates import lag_change, segment_summary, share_of_total, threshold_split
+from bandwise.functions.money import cent_sum, money_round, rows
+from bandwise.operators.aggregates import lag_change, share_of_total, threshold_names
 from bandwise.operators.audit import join_key_audit, quality_audit
 from bandwise.operators.baseline import (
     FINDINGS_VERDICTS,
@@ -54,6 +45,7 @@ from bandwise.operators.cleaning import (
 )
 from bandwise.operators.joins import bounded_broadcast
 from bandwise.operators.master import ALL_PARTS, build_master, row_count
+from bandwise.operators.measures import finish, partial, partials_for
 from bandwise.operators.ranking import best_band
 from bandwise.operators.tags import (
     CLAIM_TAGS,
@@ -69,6 +61,22 @@ from bandwise.sources.csv import load_table
 P, Q, REV, OID = "price", "quantity", "line_revenue", "order_id"
 
 
+Key = Union[str, Buckets]
+
+
+def key_name(key: Key) -> str:
+    """Column name of a grouping key: the column itself, or for price
+    buckets an ordinal named after its edges (so two label sets over the
+    same edges share one grouping)."""
+    if isinstance(key, str):
+        return key
+    return "_o_" + "_".join(f"{e:g}".replace(".", "p").replace("-", "m") for e in key.edges)
+
+
+def key_column(key: Key):
+    return F.col(key) if isinstance(key, str) else key.ordinal(P).alias(key_name(key))
+
+
 def _present(*cols: str):
     cond = None
     for c in cols:
@@ -83,6 +91,9 @@ class OrderLines:
     def __init__(self, roles: Roles):
         self.raw = roles
         self._table: DataFrame | None = None
+        self._groups: DataFrame | None = None
+        self._group_sets: dict[tuple[str, ...], int] = {}
+        self._group_partials: frozenset[str] = frozenset()
 
     # each cleaned role is planned on first use, so a report plans only the
     # tables it reads
@@ -113,6 +124,28 @@ class OrderLines:
         return build_master(self.transactions, self.consumers, self.products, self.geography,
                             need=parts)
 
+    def use_groups(self, table: DataFrame, sets: dict[tuple[str, ...], int],
+                   partials: Iterable[str]) -> None:
+        """Serve grouped partials from a GROUPING SETS table (``plans.suite``)."""
+        self._groups, self._group_sets = table, dict(sets)
+        self._group_partials = frozenset(partials)
+
+    def grouped(self, parts: Sequence[str], keys: Sequence[Key], partials: Sequence[str],
+                where=None) -> DataFrame:
+        """Partial aggregates per key combination: from the suite's grouping
+        table when it holds this key set, else one groupBy over the master
+        (with only the needed attribute groups joined). ``where`` may refer to
+        string keys only, so filtering before or after grouping is the same."""
+        names = tuple(key_name(k) for k in keys)
+        if (self._groups is not None and names in self._group_sets
+                and set(partials) <= self._group_partials):
+            g = self._groups.filter(F.col("_gid") == self._group_sets[names]).select(*names, *partials)
+            return g if where is None else g.filter(where)
+        m = self.master(*parts)
+        if where is not None:
+            m = m.filter(where)
+        return m.groupBy(*[key_column(k) for k in keys]).agg(*[partial(p) for p in partials])
+
     def materialize(self, path: str | None = None) -> DataFrame:
         """Write the full master once as parquet in the shared checkpoint
         folder and let every later report read that table. This cuts the
@@ -127,11 +160,19 @@ class OrderLines:
         return self._table
 
 
+def summarize(lines: OrderLines, parts: Sequence[str], keys: Sequence[Key],
+              measures: dict[str, str], where=None) -> DataFrame:
+    """Keys plus the named measures (``operators.measures``) per key group."""
+    g = lines.grouped(parts, keys, partials_for(measures.values()), where)
+    return g.select(*[key_name(k) for k in keys], *finish(measures))
+
+
 def _ordered(df: DataFrame, buckets: Buckets, label: str, cols: Sequence[str],
              lead: Sequence[str] = ()) -> DataFrame:
     """Attach the bucket label, project, and sort by (lead, bucket ordinal)."""
-    out = df.select(*lead, buckets.label("_b").alias(label), *cols, "_b")
-    return out.orderBy(*lead, "_b").drop("_b")
+    b = key_name(buckets)
+    out = df.select(*lead, buckets.label(b).alias(label), *cols, b)
+    return out.orderBy(*lead, b).drop(b)
 
 
 # ---------------------------------------------------------------- work list A
@@ -189,13 +230,8 @@ def price_bucket_distribution(lines: OrderLines, buckets: Buckets = PRICE_BUCKET
                               notebook: bool = False) -> DataFrame:
     """Q01 (N1 with ``notebook=True``): orders, units, revenue, mean price and
     share of all orders per price bucket."""
-    m = lines.master()
-    g = m.groupBy(buckets.ordinal(P).alias("_b")).agg(
-        rows().alias("order_count"),
-        F.sum(Q).alias("units_sold"),
-        money_sum(REV).alias("total_revenue"),
-        mean(P).alias("avg_price"),
-    )
+    g = summarize(lines, (), [buckets], {"order_count": "count", "units_sold": "units",
+                                        "total_revenue": "revenue", "avg_price": "mean_price"})
     g = share_of_total(g, "order_count", "pct_of_orders")
     cols = (["order_count", "pct_of_orders", "total_revenue"] if notebook else
             ["order_count", "units_sold", "total_revenue", "avg_price", "pct_of_orders"])
@@ -203,7 +239,7 @@ def price_bucket_distribution(lines: OrderLines, buckets: Buckets = PRICE_BUCKET
 
 
 def bucket_counts(lines: OrderLines, buckets: Buckets) -> DataFrame:
-    return lines.master().groupBy(buckets.ordinal(P).alias("_b")).agg(rows().alias("order_count"))
+    return summarize(lines, (), [buckets], {"order_count": "count"})
 
 
 def demand_cliff(lines: OrderLines, buckets: Buckets = PRICE_BUCKETS, drop_pct: float = -20.0,
@@ -211,7 +247,7 @@ def demand_cliff(lines: OrderLines, buckets: Buckets = PRICE_BUCKETS, drop_pct:
     """Q02 (N2 with notebook labels, no previous count, other flag text):
     change in orders against the previous non-empty bucket; flag a drop
     below ``drop_pct`` on the unrounded change; first bucket dropped."""
-    g = lag_change(bucket_counts(lines, buckets), "_b", "order_count",
+    g = lag_change(bucket_counts(lines, buckets), key_name(buckets), "order_count",
                    prev_col="prev_bucket_count" if with_prev else None,
                    flag_col="flag", drop_pct=drop_pct, flag_text=flag_text)
     cols = ["order_count"] + (["prev_bucket_count"] if with_prev else []) + ["pct_change", "flag"]
@@ -223,19 +259,17 @@ def price_wall(lines: OrderLines, buckets: Buckets = PRICE_WALL_BUCKETS,
     """Q19: share of orders per bucket and a note where the *rounded* change
     against the previous bucket is below ``drop_pct``; first bucket kept."""
     g = share_of_total(bucket_counts(lines, buckets), "order_count", "pct_of_orders")
-    g = lag_change(g, "_b", "order_count", prev_col=None, flag_col="note", drop_pct=drop_pct,
-                   compare_rounded=True, keep_first=True, flag_text="demand drops here")
+    g = lag_change(g, key_name(buckets), "order_count", prev_col=None, flag_col="note",
+                   drop_pct=drop_pct, compare_rounded=True, keep_first=True,
+                   flag_text="demand drops here")
     return _ordered(g, buckets, "price_bucket", ["order_count", "pct_of_orders", "note"])
 
 
 def segment_bucket_share(lines: OrderLines, buckets: Buckets = PRICE_BUCKETS) -> DataFrame:
     """Q03: per persona and bucket, with the bucket's share within the persona."""
-    m = lines.master("buyer").filter(_present("persona"))
-    g = m.groupBy("persona", buckets.ordinal(P).alias("_b")).agg(
-        rows().alias("order_count"),
-        mean(P).alias("avg_price_paid"),
-        money_sum(REV).alias("total_revenue"),
-    )
+    g = summarize(lines, ("buyer",), ["persona", buckets],
+                  {"order_count": "count", "avg_price_paid": "mean_price", "total_revenue": "revenue"},
+                  where=_present("persona"))
     g = share_of_total(g, "order_count", "pct_within_persona", within=["persona"])
     return _ordered(g, buckets, "price_bucket",
                     ["order_count", "avg_price_paid", "total_revenue", "pct_within_persona"],
@@ -244,17 +278,11 @@ def segment_bucket_share(lines: OrderLines, buckets: Buckets = PRICE_BUCKETS) ->
 
 def segment_price_summary(lines: OrderLines, notebook: bool = False) -> DataFrame:
     """Q04 (N3 with ``notebook=True``: no variance, count named ``orders``)."""
-    measures = {
-        ("orders" if notebook else "total_orders"): rows(),
-        "min_price": low(P),
-        "avg_price": mean(P),
-        "max_price": high(P),
-        "total_revenue": money_sum(REV),
-    }
+    measures = {("orders" if notebook else "total_orders"): "count", "min_price": "min_price",
+                "avg_price": "mean_price", "max_price": "max_price", "total_revenue": "revenue"}
     if not notebook:
-        measures["price_variance_pct"] = money_round(
-            F.try_divide(F.lit(100.0) * F.var_pop(P), F.avg(P) * F.avg(P)))
-    out = segment_summary(lines.master("buyer"), ["persona"], measures, where=_present("persona"))
+        measures["price_variance_pct"] = "variance_pct"
+    out = summarize(lines, ("buyer",), ["persona"], measures, where=_present("persona"))
     if notebook:
         out = out.select("persona", "orders", "avg_price", "min_price", "max_price", "total_revenue")
     return out.orderBy(F.desc("avg_price"), "persona")
@@ -262,25 +290,25 @@ def segment_price_summary(lines: OrderLines, notebook: bool = False) -> DataFram
 
 def price_threshold_split(lines: OrderLines, threshold: float = 20) -> DataFrame:
     """Q05: orders below / at-or-above a price per persona."""
-    out = threshold_split(lines.master("buyer"), ["persona"], "price", threshold,
-                          where=_present("persona"))
-    return out.orderBy(F.desc(out.columns[-1]), "persona")
+    under, plus, share = threshold_names(threshold)
+    t = f"{threshold:g}"
+    out = summarize(lines, ("buyer",), ["persona"],
+                    {under: f"below_{t}", plus: f"at_or_above_{t}", "total_orders": "count",
+                     share: f"share_at_or_above_{t}"}, where=_present("persona"))
+    return out.orderBy(F.desc(share), "persona")
 
 
 def segment_channel(lines: OrderLines) -> DataFrame:
     """Q06: persona x channel."""
-    return segment_summary(
-        lines.master("buyer"), ["persona", "channel"],
-        {"order_count": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV)},
-        where=_present("persona", "channel"),
-        order=[F.col("persona"), F.desc("avg_price"), F.col("channel")])
+    return summarize(lines, ("buyer",), ["persona", "channel"], {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue"},
+                     where=_present("persona", "channel")).orderBy(
+        "persona", F.desc("avg_price"), "channel")
 
 
 def income_price_tier(lines: OrderLines, tiers: Buckets = INCOME_TIERS) -> DataFrame:
     """Q07: income bracket x three price tiers."""
-    m = lines.master("buyer").filter(_present("income_bracket"))
-    g = m.groupBy("income_bracket", tiers.ordinal(P).alias("_b")).agg(
-        rows().alias("order_count"), mean(P).alias("avg_price"), money_sum(REV).alias("total_revenue"))
+    g = summarize(lines, ("buyer",), ["income_bracket", tiers], {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue"},
+                  where=_present("income_bracket"))
     return _ordered(g, tiers, "price_tier", ["order_count", "avg_price", "total_revenue"],
                     lead=["income_bracket"])
 
@@ -315,87 +343,78 @@ def tag_performance(lines: OrderLines, tags: Sequence[str] = CLAIM_TAGS,
 
 def category_summary(lines: OrderLines) -> DataFrame:
     """Q09."""
-    return segment_summary(
-        lines.master("product"), ["category"],
-        {"order_count": rows(), "avg_price": mean(P), "min_price": low(P), "max_price": high(P),
-         "total_revenue": money_sum(REV), "total_units": whole_sum(Q)},
-        where=_present("category"), order=[F.desc("avg_price"), F.col("category")])
+    return summarize(
+        lines, ("product",), ["category"],
+        {"order_count": "count", "avg_price": "mean_price", "min_price": "min_price",
+         "max_price": "max_price", "total_revenue": "revenue", "total_units": "units_total"},
+        where=_present("category")).orderBy(F.desc("avg_price"), "category")
 
 
 def pack_size_mix(lines: OrderLines) -> DataFrame:
     """Q10: share is of the rows with a pack size."""
-    g = segment_summary(
-        lines.master("product"), ["pack_size"],
-        {"order_count": rows(), "avg_price_per_order": mean(P), "avg_units_ordered": mean(Q),
-         "total_revenue": money_sum(REV)},
-        where=_present("pack_size"))
+    g = summarize(lines, ("product",), ["pack_size"],
+                  {"order_count": "count", "avg_price_per_order": "mean_price",
+                   "avg_units_ordered": "mean_units", "total_revenue": "revenue"},
+                  where=_present("pack_size"))
     return share_of_total(g, "order_count", "pct_of_all_orders").orderBy(
         F.desc("avg_price_per_order"), "pack_size")
 
 
 def state_top_price(lines: OrderLines, limit: int = 20) -> DataFrame:
     """Q11: the ``limit`` states with the highest mean price (ties by state)."""
-    return segment_summary(
-        lines.master("geo"), ["state"],
-        {"order_count": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV),
-         "total_units": whole_sum(Q)},
-        where=_present("state"), order=[F.desc("avg_price"), F.col("state")], limit=limit)
+    return summarize(lines, ("geo",), ["state"],
+                     {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue",
+                      "total_units": "units_total"},
+                     where=_present("state")).orderBy(F.desc("avg_price"), "state").limit(limit)
 
 
 def city_tier_mix(lines: OrderLines) -> DataFrame:
     """Q12: known tiers; share is of the rows with a known tier."""
-    g = segment_summary(
-        lines.master("geo"), ["city_tier"],
-        {"order_count": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV),
-         "total_units": whole_sum(Q)},
-        where=known_tier())
+    g = summarize(lines, ("geo",), ["city_tier"],
+                  {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue",
+                   "total_units": "units_total"}, where=known_tier())
     return share_of_total(g, "order_count", "pct_of_orders").orderBy(F.desc("avg_price"), "city_tier")
 
 
 def occasion_summary(lines: OrderLines) -> DataFrame:
     """Q13."""
-    return segment_summary(
-        lines.master("geo"), ["occasion"],
-        {"order_count": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV),
-         "avg_units_per_order": mean(Q)},
-        where=_present("occasion"), order=[F.desc("avg_price"), F.col("occasion")])
+    return summarize(lines, ("geo",), ["occasion"],
+                     {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue",
+                      "avg_units_per_order": "mean_units"},
+                     where=_present("occasion")).orderBy(F.desc("avg_price"), "occasion")
 
 
 def segment_occasion_top(lines: OrderLines, limit: int = 30) -> DataFrame:
     """Q14: top ``limit`` persona x occasion pairs by mean price."""
-    return segment_summary(
-        lines.master("buyer", "geo"), ["persona", "occasion"],
-        {"order_count": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV)},
-        where=_present("persona", "occasion"),
-        order=[F.desc("avg_price"), F.col("persona"), F.col("occasion")], limit=limit)
+    return summarize(lines, ("buyer", "geo"), ["persona", "occasion"], {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue"},
+                     where=_present("persona", "occasion")).orderBy(
+        F.desc("avg_price"), "persona", "occasion").limit(limit)
 
 
 def tier_segment_yield(lines: OrderLines) -> DataFrame:
     """Q15: revenue per order by known tier x persona."""
-    return segment_summary(
-        lines.master("buyer", "geo"), ["city_tier", "persona"],
-        {"order_count": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV),
-         "revenue_per_order": per_row(REV)},
-        where=known_tier() & _present("persona"),
-        order=[F.col("city_tier"), F.desc("revenue_per_order"), F.col("persona")])
+    return summarize(lines, ("buyer", "geo"), ["city_tier", "persona"],
+                     {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue",
+                      "revenue_per_order": "revenue_per_order"},
+                     where=known_tier() & _present("persona")).orderBy(
+        "city_tier", F.desc("revenue_per_order"), "persona")
 
 
 def competitor_gap(lines: OrderLines) -> DataFrame:
     """Q16: category mean price against the competitor range."""
-    ours = segment_summary(lines.master("product"), ["category"],
-                           {"our_avg_price": mean(P), "our_order_count": rows()},
-                           where=_present("category"))
+    ours = summarize(lines, ("product",), ["category"],
+                     {"our_avg_price": "mean_price", "our_order_count": "count"},
+                     where=_present("category"))
     out = benchmark_gap(ours, competitor_summary(lines.competitors))
     return out.orderBy(F.desc("gap_vs_competitor"), "category")
 
 
 def affinity_summary(lines: OrderLines) -> DataFrame:
     """Q17."""
-    return segment_summary(
-        lines.master("buyer"), ["trend_affinity"],
-        {"order_count": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV),
-         "avg_basket_size": mean(Q)},
-        where=_present("trend_affinity"), order=[F.desc("avg_price"), F.col("trend_affinity")])
+    return summarize(lines, ("buyer",), ["trend_affinity"],
+                     {"order_count": "count", "avg_price": "mean_price", "total_revenue": "revenue",
+                      "avg_basket_size": "mean_units"},
+                     where=_present("trend_affinity")).orderBy(F.desc("avg_price"), "trend_affinity")
 
 
 def launch_band(lines: OrderLines, bands: Buckets = LAUNCH_BANDS,
@@ -403,14 +422,13 @@ def launch_band(lines: OrderLines, bands: Buckets = LAUNCH_BANDS,
     """Q18 (N8 with notebook bands / names): per persona and known tier, the
     price band with the highest revenue per order (exact ratio; ties to the
     lower band)."""
-    m = lines.master("buyer", "geo").filter(_present("persona") & known_tier())
-    g = m.groupBy("persona", "city_tier", bands.ordinal(P).alias("_b")).agg(
-        rows().alias(count_name), money_sum(REV).alias("_rev"))
-    score = F.col("_rev") / F.col(count_name)
-    best = best_band(g, ["persona", "city_tier"], score, "_b")
+    g = summarize(lines, ("buyer", "geo"), ["persona", "city_tier", bands],
+                  {count_name: "count", "_score": "raw_revenue_per_order"},
+                  where=_present("persona") & known_tier())
+    best = best_band(g, ["persona", "city_tier"], F.col("_score"), key_name(bands))
     return best.select(
-        "persona", "city_tier", bands.label("_b").alias(label), count_name,
-        money_round(score).alias("revenue_per_order"),
+        "persona", "city_tier", bands.label(key_name(bands)).alias(label), count_name,
+        money_round("_score").alias("revenue_per_order"),
     ).orderBy("persona", "city_tier")
 
 
@@ -418,11 +436,10 @@ def launch_band(lines: OrderLines, bands: Buckets = LAUNCH_BANDS,
 
 def segment_income(lines: OrderLines) -> DataFrame:
     """Q20 (= N4)."""
-    return segment_summary(
-        lines.master("buyer"), ["persona", "income_bracket"],
-        {"orders": rows(), "avg_price": mean(P)},
-        where=_present("persona", "income_bracket"),
-        order=[F.col("persona"), F.desc("avg_price"), F.col("income_bracket")])
+    return summarize(lines, ("buyer",), ["persona", "income_bracket"],
+                     {"orders": "count", "avg_price": "mean_price"},
+                     where=_present("persona", "income_bracket")).orderBy(
+        "persona", F.desc("avg_price"), "income_bracket")
 
 
 def _tag_lists(lines: OrderLines, tags: Sequence[str], match: str) -> DataFrame:
@@ -475,18 +492,17 @@ def tag_premium_orders(lines: OrderLines, tags: Sequence[str] = PREMIUM_CLAIM_TA
 
 def city_tier_yield(lines: OrderLines) -> DataFrame:
     """Q22 (= N6)."""
-    return segment_summary(
-        lines.master("geo"), ["city_tier"],
-        {"orders": rows(), "avg_price": mean(P), "total_revenue": money_sum(REV),
-         "revenue_per_order": per_row(REV)},
-        where=known_tier(), order=[F.desc("revenue_per_order"), F.col("city_tier")])
+    return summarize(lines, ("geo",), ["city_tier"],
+                     {"orders": "count", "avg_price": "mean_price", "total_revenue": "revenue",
+                      "revenue_per_order": "revenue_per_order"},
+                     where=known_tier()).orderBy(F.desc("revenue_per_order"), "city_tier")
 
 
 def occasion_vs_baseline(lines: OrderLines) -> DataFrame:
     """Q23 (= N7): mean price per occasion against the overall mean of all
     order lines (NULL occasion included). One pass: per-occasion sums with
     the NULL group, baseline from those rows, then the NULL group dropped."""
-    per = lines.master("geo").groupBy("occasion").agg(rows().alias("orders"), F.sum(P).alias("_s"))
+    per = summarize(lines, ("geo",), ["occasion"], {"orders": "count", "_s": "price_sum"})
     per = with_baseline(per, "_s", "orders")
     raw = F.col("_s") / F.col("orders")
     out = per.filter(_present("occasion")).select(
@@ -494,3 +510,4 @@ def occasion_vs_baseline(lines: OrderLines) -> DataFrame:
         money_round(raw - F.col("_baseline")).alias("vs_overall_avg"))
     return out.orderBy(F.desc("avg_price"), "occasion")
 
+
