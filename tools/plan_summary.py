@@ -28,7 +28,8 @@ def final_plan(df) -> str:
 
 
 def summarise(text: str) -> dict[str, str]:
-    scans = sorted(set(re.findall(r"/([a-z_]+)\.parquet", text)))
+    scans = sorted(set(re.findall(r"/([a-z_]+)\.parquet", text))
+                   | {f"{m} (written)" for m in re.findall(r"/(groups|master)-[0-9a-f]{8}", text)})
     joins = Counter(m for m in re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|"
                                           r"BroadcastNestedLoopJoin|CartesianProduct)", text))
     join_types = Counter(re.findall(r"(?:BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin)[^\n]*?"
@@ -55,6 +56,8 @@ def main() -> None:
     ap.add_argument("--binding", default="b")
     ap.add_argument("--no-broadcast", action="store_true",
                     help="plan as if no dimension fit the broadcast bound (the 100 TB shape)")
+    ap.add_argument("--suite", action="store_true",
+                    help="materialize the master and finish grouped reports from one GROUPING SETS pass")
     args = ap.parse_args()
     spark = local_session(8, 8)
     if args.no_broadcast:
@@ -62,7 +65,14 @@ def main() -> None:
         joins.DEFAULT_MAX_ROWS = 0
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     cols = ["scans", "joins", "join kinds", "shuffles", "windows/top-k"]
-    shape = "no dimension broadcast (at-scale shape)" if args.no_broadcast else "measured broadcasts"
+    shape = ("suite: written master + one GROUPING SETS pass" if args.suite else
+             "no dimension broadcast (at-scale shape)" if args.no_broadcast else "measured broadcasts")
+    suite_lines = None
+    if args.suite:
+        from bandwise.plans.suite import group_all
+        suite_lines = order_lines(spark, args.sf_dir, args.binding)
+        suite_lines.materialize()
+        table = group_all(suite_lines)
     print(f"## Binding {args.binding}, {os.path.basename(args.sf_dir)}, {shape}\n")
     print("Generated by `tools/plan_summary.py` from the AQE final plans. Scans list the")
     print("parquet tables read; `hash` shuffles include the partial-aggregate exchanges")
@@ -73,7 +83,9 @@ def main() -> None:
     for e in ENTRIES:
         if args.binding not in e.bindings:
             continue
-        df = e.build(order_lines(spark, args.sf_dir, args.binding))
+        if suite_lines is not None and not e.qid.startswith("q"):
+            continue
+        df = e.build(suite_lines if suite_lines is not None else order_lines(spark, args.sf_dir, args.binding))
         s = summarise(final_plan(df))
         print(f"| {e.key(args.binding)} | " + " | ".join(s[c] for c in cols) + " |", flush=True)
 
