@@ -59,7 +59,7 @@ def main() -> None:
     ap.add_argument("--suite", action="store_true",
                     help="materialize the master and finish grouped reports from one GROUPING SETS pass")
     args = ap.parse_args()
-    spark = local_session(8, 8)
+    spark = local_session(8, 8, conf={"spark.sql.maxMetadataStringLength": "10000"})
     if args.no_broadcast:
         from bandwise.operators import joins
         joins.DEFAULT_MAX_ROWS = 0
