@@ -3,9 +3,10 @@
 Spark's exact ``percentile`` merges every distinct value of a group in one
 task. Here the values are first reduced to a histogram (value, count) --
 partial aggregation, so a value held by a third of the rows is one row per
-task -- then split into ``bins`` ordered ranges cut at approximate quantiles
-of the distinct values (so each range has about 1/bins of the histogram).
-Range totals (``bins`` rows) give each range its rank offset; a window per
+task -- then split into ``bins``² ordered ranges, cut at approximate
+quantiles of the distinct values and again within each first-level range
+(so each range has about 1/bins² of the histogram). Range totals (at most
+``bins``² rows) give each range its rank offset; a window per
 range accumulates counts in value order; the rows covering the two ranks
 around ``q * (n - 1)`` are read off and interpolated linearly (the
 ``quantile_cont`` definition). The approximate cut points only decide how the
@@ -32,6 +33,15 @@ def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 64,
     return percentile_of_histogram(histogram(df, col), q, bins, accuracy)
 
 
+def _rank_in(edges_col: str, bins: int):
+    """Number of the ``bins - 1`` ascending cut points in ``edges_col`` that
+    are <= v (a sum of comparisons: no lambda, stays in generated code)."""
+    b = F.lit(0)
+    for i in range(1, bins):
+        b = b + F.when(F.element_at(edges_col, i) <= F.col("v"), 1).otherwise(0)
+    return b
+
+
 def percentile_of_histogram(hist: DataFrame, q: float, bins: int = 64,
                             accuracy: int = 10_000) -> DataFrame:
     """``exact_percentile`` over a (v, c) histogram built by ``histogram``."""
@@ -43,12 +53,15 @@ def percentile_of_histogram(hist: DataFrame, q: float, bins: int = 64,
     cuts = [i / bins for i in range(1, bins)]
     stats = hist.agg(F.sum("c").alias("n"), F.percentile_approx("v", cuts, accuracy).alias("edges"))
     n, edges = stats.select("n").scalar(), stats.select("edges").scalar()
-    # bin = number of cut points <= v (cut points ascend, so bins are ordered)
-    with_edges = hist.withColumn("_e", edges)
-    b = F.lit(0)
-    for i in range(1, bins):
-        b = b + F.when(F.element_at("_e", i) <= F.col("v"), 1).otherwise(0)
-    binned = with_edges.select("v", "c", b.alias("b"))
+    # level 1: range = number of cut points <= v (they ascend, so ranges are
+    # ordered); level 2: the same within each level-1 range, from that
+    # range's own cut points (one row per range, so the join is a broadcast
+    # of at most ``bins`` rows). bins**2 ordered ranges in all, each holding
+    # about 1/bins**2 of the distinct values.
+    first = hist.withColumn("_e", edges).select("v", "c", _rank_in("_e", bins).alias("b1"))
+    cuts2 = first.groupBy("b1").agg(F.percentile_approx("v", cuts, accuracy).alias("_e2"))
+    binned = first.join(F.broadcast(cuts2), "b1").select(
+        "v", "c", (F.col("b1") * bins + _rank_in("_e2", bins)).alias("b"))
     totals = binned.groupBy("b").agg(F.sum("c").alias("bc"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("b", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))

@@ -34,3 +34,12 @@ def test_nulls_ignored_and_empty_gives_null(spark):
 
 def test_single_value(spark):
     assert _run(spark, [7.5], 0.99) == 7.5
+
+
+def test_two_level_ranges_with_few_bins(spark):
+    rng = np.random.default_rng(11)
+    values = [float(v) for v in np.round(rng.lognormal(3, 1, 4000), 3)]
+    df = spark.createDataFrame([(v,) for v in values], "price double")
+    for q in (0.0, 0.37, 0.99, 1.0):
+        got = exact_percentile(df, "price", q, bins=3).first()["value"]
+        assert got == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-9)
