@@ -49,12 +49,21 @@ def _size_row(df: DataFrame, name: str) -> DataFrame:
 
 
 # Size proofs already taken in this application, keyed by the plan's semantic
-# hash and the exact list of files it reads. A rewritten table gets new file
-# names, so its key changes; a hit is double-checked with sameSemantics.
+# hash and the exact list of files it reads. Data files are treated as
+# immutable: Spark's writers and table formats give changed data new file
+# names, so a rewritten table gets a new key. A hit is double-checked with
+# sameSemantics. Whoever rewrites files in place under the same names must
+# call ``clear_size_proofs()``.
 _PROOFS: OrderedDict[tuple, tuple[DataFrame, Size]] = OrderedDict()
 _PROOF_SLOTS = 256
 
 
+def clear_size_proofs() -> None:
+    """Forget every remembered size proof and file length."""
+    _PROOFS.clear()
+    _FILE_BYTES.clear()
+
+
 def _proof_key(df: DataFrame, files: list[str] | None = None) -> tuple:
     files = sorted(df.inputFiles()) if files is None else files
     digest = hashlib.sha1("\n".join(files).encode()).hexdigest()

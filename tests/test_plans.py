@@ -74,3 +74,11 @@ def test_large_inputs_are_not_scanned_to_decide_a_broadcast(spark, parquet_lines
     _, broadcast = bounded_broadcast(geo, max_bytes=on_disk - 1)
     assert not broadcast
     assert measure_many({"g": geo}, skip_above_bytes=on_disk + 1)["g"].rows == 5
+
+
+def test_size_proofs_can_be_cleared(spark, parquet_lines):
+    from bandwise.operators import joins
+    joins.measure_many({"g": parquet_lines.geography})
+    assert joins._PROOFS
+    joins.clear_size_proofs()
+    assert not joins._PROOFS and not joins._FILE_BYTES
