@@ -3,9 +3,13 @@
 Every report reads the order-line master of an ``OrderLines`` context and
 names the attribute groups it reads (``buyer``, ``product``, ``geo``); the
 master builder joins just those and keeps the others' row multiplicity
-without shuffling the order lines for them. Grouping is on small ordinals
-and low-cardinality attributes, with partial aggregation before every
-shuffle; windows and final sorts run on grouped rows only.
+without shuffling the order lines for them. Grouped reports ask
+``summarize`` for named measures over key columns; the partial aggregates
+behind them come from one groupBy of the master, or -- after
+``plans.suite.group_all`` -- from the suite's single GROUPING SETS pass.
+Grouping is on small ordinals and low-cardinality attributes, with partial
+aggregation before every shuffle; windows and final sorts run on grouped
+rows only.
 """
 
 from __future__ import annotations
