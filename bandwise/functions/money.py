@@ -51,6 +51,16 @@ def money(c: Column | str) -> Column:
     return cents(c) / F.lit(100.0)
 
 
+def money_sql(x: str) -> Column:
+    """``money`` for an amount given as SQL text: the same rule, parsed once
+    on the JVM instead of assembled call by call from the driver."""
+    x = f"({x})"
+    k = f"rint({x} * 1e10)"
+    fast = f"CASE WHEN {k} >= 0 THEN floor(({k} + 5e7) / 1e8) ELSE -floor((5e7 - {k}) / 1e8) END"
+    exact = f"CAST(round(CAST({x} AS DECIMAL(38,10)), 2) * 100 AS BIGINT)"
+    return F.expr(f"CAST(CASE WHEN abs({x}) < 9e5 THEN {fast} ELSE {exact} END AS BIGINT) / 100.0D")
+
+
 def to_money(c: Column | str) -> Column:
     """Round a double amount to cents and keep it as an exact decimal."""
     return F.round(_col(c).cast(_SNAP), 2).cast(MONEY)

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.money import high, low, mean, money, rows
+from bandwise.functions.money import high, low, mean, money_sql, rows
 from bandwise.functions.text import blank_default, is_blank
 
 # The reference's cleaning constants.
@@ -37,7 +37,7 @@ def clean_transactions(tx: DataFrame, floor: float = PRICE_FLOOR,
     kept = tx.filter((price > floor) & (price <= ceiling) & (qty > 0))
     return kept.select(
         "order_id", "user_id", "product_id", "price", "quantity", "timestamp", "channel",
-        money(price * qty).alias("line_revenue"),
+        money_sql("price * quantity").alias("line_revenue"),
     )
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.functions.money import money
+from bandwise.functions.money import money_sql
 from bandwise.functions.text import NA_TOKENS
 from bandwise.operators.joins import bounded_broadcast
 
@@ -86,9 +86,9 @@ def _pick(values: tuple[str, ...], key: str) -> str:
     return f"element_at(array({_sql_list(values)}), CAST({key} % {len(values)} AS INT) + 1)"
 
 
-def unit_price(extended: Column, quantity: Column) -> Column:
+def unit_price(extended: str = "l_extendedprice", quantity: str = "l_quantity") -> Column:
     """Per-unit price scaled into the consumer range: ext / qty / 50, in cents."""
-    return money(F.try_divide(F.try_divide(extended, quantity), F.lit(50.0)))
+    return money_sql(f"try_divide(try_divide({extended}, {quantity}), 50.0)")
 
 
 def transactions_a(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
@@ -114,7 +114,7 @@ def transactions_b(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
     # geography join of the master then reuses)
     orders, _ = bounded_broadcast(orders)
     lines = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
-    up = unit_price(F.col("l_extendedprice"), F.col("l_quantity"))
+    up = unit_price()
     return lines.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
@@ -193,7 +193,7 @@ def competitors(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
     read = reader or _read
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    up = unit_price(F.col("l_extendedprice"), F.col("l_quantity"))
+    up = unit_price()
     return li.select(
         F.col("l_suppkey").alias("competitor_product_id"),
         F.when(F.col("l_orderkey") % 13 == 0, F.lit(None).cast("double")).otherwise(up).alias("price"),

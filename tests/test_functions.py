@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandwise.functions.buckets import PRICE_BUCKETS, Buckets
-from bandwise.functions.money import cent_sum, money, money_round, pct
+from bandwise.functions.money import cent_sum, money, money_round, money_sql, pct
 from bandwise.functions.text import blank_default, has_tag, is_blank, matched_tags, na_to_null
 
 
@@ -71,6 +71,8 @@ def test_per_row_money_equals_decimal_rule(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     diff = df.filter(money("x") != money_round("x")).count()
     assert diff == 0
+    assert df.filter(money_sql("x") != money_round("x")).count() == 0
+    assert df.filter(money_sql("x").isNull()).count() == 0
 
 
 def test_cent_sum_is_exact(spark):
