@@ -133,3 +133,10 @@ def test_quality_audit(spark, scratch):
     import numpy as np
     prices = [9.99, 10, 19.99, 20, 225, 225.01, -5, 0, 30, 15, 60]
     assert got[("transactions", "p99_price")] == round(float(np.percentile(prices, 99)), 2)
+
+
+def test_null_dimension_keys_do_not_multiply_lines(spark, scratch):
+    geo = GEOGRAPHY + ",XX,Tier 1,gym\n,YY,Tier 2,gym\n"  # two rows without an order id
+    lines = fixture_lines(spark, scratch, {"geography_occasion": geo})
+    assert lines.master().count() == 7
+    assert lines.master(*ALL_PARTS).count() == 7

@@ -222,3 +222,19 @@ def test_materialized_master_gives_same_reports(spark, scratch):
     for fn in (r.price_bucket_distribution, r.launch_band, r.tag_premium, r.occasion_vs_baseline):
         assert a and fn(a).collect() == fn(b).collect()
     assert b.master().filter(F.col("persona").isNotNull()).count() == 3
+
+
+def test_n2_notebook_cliff(lines):
+    from bandwise.functions.buckets import NOTEBOOK_BUCKETS
+    df = r.demand_cliff(lines, buckets=NOTEBOOK_BUCKETS, flag_text="demand drops here", with_prev=False)
+    assert df.columns == ["price_bucket", "order_count", "pct_change", "flag"]
+    assert rows(df, "price_bucket", "pct_change", "flag") == [
+        ("02. $10-$19", 200.0, ""), ("03. $20-$29", -66.67, "demand drops here"),
+        ("06. $50-$74", 0.0, ""), ("10. $200+", 0.0, "")]
+
+
+def test_n8_notebook_launch_range(lines):
+    from bandwise.functions.buckets import NOTEBOOK_LAUNCH_BANDS
+    df = r.launch_band(lines, bands=NOTEBOOK_LAUNCH_BANDS, label="recommended_range", count_name="orders")
+    assert df.columns == ["persona", "city_tier", "recommended_range", "orders", "revenue_per_order"]
+    assert rows(df, "persona", "recommended_range", "orders") == [("fitness", "under $20", 1)]
