@@ -48,7 +48,7 @@ def _tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     kth = min(k, low.shape[1])
     floor = np.partition(low, low.shape[1] - kth, axis=1)[:, low.shape[1] - kth]
     at_q, at_c = np.nonzero((est + err >= floor[:, None]) & (est > -np.inf))
-    exact = np.einsum("ij,ij->i", q[at_q], c[at_c])
+    exact = np.cumsum(q[at_q] * c[at_c], axis=1)[:, -1]  # from the first component on, as SQL adds
     order = np.lexsort((c_ids[at_c], -exact, at_q))
     at_q, at_c, exact = at_q[order], at_c[order], exact[order]
     first = np.searchsorted(at_q, at_q, side="left")
@@ -86,7 +86,8 @@ def nearest(vectors: DataFrame, k: int = 20, query: str = "vec_id % 20 = 0", id_
         F.pmod(F.shiftright("h", 20), F.lit(n_q)).cast("int").alias("qb"))
     out = "query_id long, vec_id long, score double, cb int"
 
-    def tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(key, f: pd.DataFrame) -> pd.DataFrame:
+        left, right = f[f.asks], f[~f.asks]
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "cb": []}).astype(
                 {"query_id": "int64", "vec_id": "int64", "score": "float64", "cb": "int32"})
@@ -96,8 +97,10 @@ def nearest(vectors: DataFrame, k: int = 20, query: str = "vec_id % 20 = 0", id_
         got["cb"] = np.int32(key[1])
         return got
 
-    tiles = (queries.groupBy("qb", "cb", "dim").cogroup(cands.groupBy("qb", "cb", "dim"))
-             .applyInPandas(tile, out))
+    columns = ("qb", "cb", "dim", "vec_id", "v")
+    both = (queries.select(*columns, F.lit(True).alias("asks"))
+            .unionAll(cands.select(*columns, F.lit(False).alias("asks"))))
+    tiles = both.groupBy("qb", "cb", "dim").applyInPandas(tile, out)
 
     def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
         lists = ([(-s, v) for s, v in zip(g.score, g.vec_id)] for _, g in rows.groupby("cb", sort=False))

@@ -29,7 +29,7 @@ CHAIN = 4
 SLICE = 1 << 20
 HELD = 1 << 21
 BROADCAST_IDS = 4_000_000
-LOW, HIGH, SLACK = 0.001, 0.995, 1.05
+HIGH, SLACK = 0.995, 1.05
 _PAD = b"\n" * (ORDER - 1)
 _LANG = np.uint64(8 * ORDER)
 
@@ -234,23 +234,29 @@ def _add(part: pa.RecordBatch, scorer: Scorer, shard: int, langs: dict, hashed)
     return pa.RecordBatch.from_arrays([pa.array(total), pa.array(n), *part.columns[2:]], schema=part.schema)
 
 
+def _held_out(column: str):
+    """A fifth of the ids: their trusted texts are not counted but set the limits,
+    which would be too narrow on texts that the model has seen."""
+    return F.pmod(F.xxhash64(column), F.lit(5)) == 0
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang", low: float = LOW, high: float = HIGH, slack: float = SLACK,
+             lang_col: str = "lang", low: float | None = None, high: float = HIGH, slack: float = SLACK,
              shard_grams: int = SHARD_GRAMS) -> DataFrame:
     """The rows of ``docs`` with two columns in front: ``perplexity`` and ``kept``.
 
     Trusted are the rows whose id has the label quality 1 and not toxic 1. A row
-    is rejected when its perplexity per byte is above the trusted texts' quantile
-    ``high`` of its language times ``slack``, or below their quantile ``low``
-    divided by it. Null and empty texts, and texts whose language is null or has
-    no trusted text, have no perplexity and are kept. Repeated rows are judged
+    is rejected when its perplexity per byte is above the held-out trusted texts'
+    quantile ``high`` of its language times ``slack``, or, where ``low`` is given, below
+    that quantile divided by it. Null and empty texts, and texts whose language is null or has
+    no trusted text, have no perplexity or no limit and are kept. Repeated rows are judged
     alike; without trusted texts all is kept; an empty table gives no rows.
     """
     names = docs.columns
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
     ids = scratch.cut(trusted_ids(labels), "trusted")
-    trusted = _among(base.where("lang IS NOT NULL AND text <> ''"), ids)
+    trusted = _among(base.where("lang IS NOT NULL AND text <> ''").where(~_held_out("doc_id")), ids)
     model = Model(trusted, shard_grams)
     scored = score(docs, model, lang_col, text_col)
     # Columns that are in both are taken by position.
@@ -260,11 +266,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = scored.withColumn("__ppl", ppl)
     own_id, own_lang = inner[names.index(id_col)], inner[names.index(lang_col)]
     known = _among(scored.select(F.col(own_id).cast("long").alias("doc_id"), F.col(own_lang).alias("lang"), "__ppl")
-                   .where("__ppl IS NOT NULL"), ids)
-    limits = known.groupBy("lang").agg(F.percentile_approx("__ppl", [low, high], 10000).alias("q")).collect()
+                   .where("__ppl IS NOT NULL").where(_held_out("doc_id")), ids)
+    limits = known.groupBy("lang").agg(F.percentile_approx("__ppl", [low or 0.0, high], 10000).alias("q")).collect()
     keep = F.lit(True)
     for r in limits:  # one row per language
-        out = (F.col("__ppl") > r.q[1] * slack) | (F.col("__ppl") < r.q[0] / slack)
+        out = F.col("__ppl") > r.q[1] * slack
+        if low is not None:
+            out = out | (F.col("__ppl") < r.q[0] / slack)
         keep = F.when(F.col(own_lang) == r.lang, ~out).otherwise(keep)
     return scored.select(F.col("__ppl").alias("perplexity"), F.coalesce(keep, F.lit(True)).alias("kept"), *inner).toDF(
         "perplexity", "kept", *names)

@@ -88,7 +88,7 @@ ORACLE_SQL = {
         FROM documents WINDOW same AS (PARTITION BY COALESCE(text, ''))""",
     "op6_substring_dedup": r"""
         WITH words AS (
-            SELECT doc_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(COALESCE(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            SELECT doc_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         runs AS (
             SELECT doc_id, i, ARRAY_TO_STRING(w[i : i + 19], ' ') AS run
@@ -100,14 +100,15 @@ ORACLE_SQL = {
         cut AS (SELECT doc_id, LIST(place) AS ats FROM gone GROUP BY doc_id)
         SELECT words.doc_id, CAST(LEN(w) AS BIGINT) AS n_words, CAST(COALESCE(LEN(ats), 0) AS BIGINT) AS n_removed,
                SHA256(ARRAY_TO_STRING(CASE WHEN ats IS NULL THEN w ELSE
-                   LIST_TRANSFORM(LIST_FILTER(LIST_ZIP(w, RANGE(1, LEN(w) + 1)), z -> NOT LIST_CONTAINS(ats, z[2])), z -> z[1])
+                   LIST_TRANSFORM(LIST_FILTER(LIST_ZIP(w, RANGE(1, LEN(w) + 1)), lambda z: NOT LIST_CONTAINS(ats, z[2])), lambda z: z[1])
                    END, ' ')) AS kept_sha256
         FROM words LEFT JOIN cut ON words.doc_id = cut.doc_id""",
     "op9_nearest_neighbours": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-                   WHERE LEN(LIST_FILTER(embedding, x -> x IS NULL OR NOT ISFINITE(x))) = 0
-                     AND LEN(LIST_FILTER(embedding, x -> x <> 0)) > 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, LIST_INNER_PRODUCT(q.e, c.e) AS score
+                   WHERE LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0
+                     AND LEN(LIST_FILTER(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, 
+                     LIST_SUM(LIST_TRANSFORM(LIST_ZIP(q.e, c.e), lambda z: z[1] * z[2])) AS score
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
