@@ -12,50 +12,62 @@ is a whole number of pre-tokens to its ids.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 65536
 OVERLAP = 1024
-MEMO = 800_000
+MEMO = 600_000
+# White space to some libraries and not to others.
+_ODD = re.compile(r"[\x1c-\x1f\x85]")
 
-# Spaces where a text may be taken apart without changing its pre-tokens: one
-# space between two characters that are no white space. Texts with any other
-# white space than such spaces and line feeds away from them go the plain way.
-_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  | \n|\n |^ | $")
+# The pre-tokens of byte-level BPE files, and the bytes that stand
+# for themselves in their vocabulary (the others follow from code point 256 on).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 class Memo(dict):
-    """ids (little-endian uint32 bytes) of a stretch of text; emptied when full."""
+    """ids (little-endian uint32 bytes) of a stretch of text. Holds two
+    generations of at most ``most`` stretches each; what the older one has and
+    nobody asks for again is forgotten."""
 
     def __init__(self, encode: Callable[[str], bytes], most: int = MEMO):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, text: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        got = self[text] = self.encode(text)
+        got = self.older.get(text)
+        if got is None:
+            got = self.encode(text)
+        self[text] = got
         return got
 
 
 def encode_text(text: str, memo: Memo) -> bytes:
-    """The ids of ``text`` as bytes. Each separable space starts a new stretch."""
-    if not text:
-        return b""
-    if _ODD_SPACE.search(text):
-        return memo.encode(text)
-    first, _, rest = text.partition(" ")
-    if not rest:
-        return memo[first]
-    return memo[first] + b"".join(map(memo.__getitem__, (" " + rest.replace(" ", "\0 ")).split("\0"))) \
-        if "\0" not in text else memo.encode(text)
+    """The ids of ``text`` as bytes. Where all its white space is single spaces
+    and single line feeds between words, each word with the space before it, and
+    each line feed, is a whole number of pre-tokens; other texts go the plain way."""
+    words = len(text.split())
+    if not words or text.count(" ") + text.count("\n") != words - 1 or "\0" in text or _ODD.search(text):
+        return memo.encode(text) if text else b""
+    return b"".join(map(memo.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+
+
+def _uint32(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def rank_memo(path: str, pattern: str) -> tuple[Memo, list[bytes]]:
@@ -68,7 +80,7 @@ def rank_memo(path: str, pattern: str) -> tuple[Memo, list[bytes]]:
     table = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         table[i] = token
-    return Memo(lambda t: np.array(enc.encode_ordinary(t), "<u4").tobytes()), table
+    return Memo(lambda t: _uint32(enc.encode_ordinary(t))), table
 
 
 def tokenizer_memo(path: str) -> Memo:
@@ -82,7 +94,31 @@ def tokenizer_memo(path: str) -> Memo:
     def encode(text: str) -> bytes:
         return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return Memo(encode)
+    parts = json.loads(tok.to_str())
+    before = parts["pre_tokenizer"] or {}
+    if parts["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return Memo(encode)
+    # The library's model alone, without its bookkeeping of offsets.
+    find, tokenize = regex.compile(BYTE_LEVEL).findall, tok.model.tokenize
+    others = (b for b in range(256) if b not in set(PLAIN_BYTES))
+    letters = str.maketrans({b: 256 + i for i, b in enumerate(others)})
+
+    space = " ".translate(letters)
+
+    def encode_parts(text: str) -> bytes:
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
+            if word.isascii():  # letters stand for themselves
+                return _uint32([t.id for t in tokenize(space + word if word is not text else word)])
+            pieces = (text,)
+        elif word[-1:] in ".,;:!?" and word[:-1].isalpha():
+            return memo[text[:-1]] + memo[text[-1]]
+        else:
+            pieces = find(text)
+        return _uint32([t.id for p in pieces for t in tokenize(p.encode().decode("latin-1").translate(letters))])
+
+    memo = Memo(encode_parts)
+    return memo
 
 
 _MEMOS: dict[tuple, object] = {}
@@ -132,8 +168,6 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     chunks = long.mapInPandas(cut, "row long, doc_id long, at long, text string, last boolean")
 
     def pretokenise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
         find = regex.compile(pattern)
         for f in frames:
             ends = [np.array([m.end() for m in find.finditer(t)], "<i4") for t in f.text]
@@ -158,8 +192,6 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
 def stitched(f: pd.DataFrame, chunk: int, overlap: int, pattern: str) -> Iterator[str]:
     """The pre-tokens of one document from its chunks (columns at, text, last,
     ends), in order."""
-    import regex
-
     find = None
     at, text, ends, start = None, "", np.zeros(0, "<i4"), 0
     for nxt_at, nxt, nxt_ends in zip(f["at"], f["text"], f["ends"]):

@@ -37,8 +37,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     """A dictionary from at most SAMPLE_DOCS documents of at most SAMPLE_CHARS
     characters (the bounded sample; it changes sizes, never ids). Empty where
     there is too little to train on."""
-    sample = (docs.where(F.char_length("text") <= SAMPLE_CHARS)
-              .orderBy(F.xxhash64("doc_id", F.char_length("text"))).limit(SAMPLE_DOCS).select("text").collect())
+    size = F.char_length("text")
+    marked = docs.where(size <= SAMPLE_CHARS).withColumn("h", F.xxhash64("doc_id", size))
+    places = [r.h for r in marked.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]
+    sample = marked.where(F.col("h").isin(places)).select("text").limit(SAMPLE_DOCS).collect() if places else []
     memo = worker_memo(tokenizer_memo, tokenizer)
     arrays = [_pack_ids(encode_text(r.text, memo), end_id, width) for r in sample]
     try:
