@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -74,12 +73,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     shards = max(1, -(-tokens // shard_tokens))
     share = spark_broadcast(docs, (idf, tokens / n))
 
-    def fill(key, f: pd.DataFrame) -> pd.DataFrame:
+    def fill(rows: pa.Table) -> pa.Table:
         weights, mean = share.value
-        return _fill_windows(key[0], f.sort_values("uid"), weights, mean, window)
+        return _fill_windows(rows.sort_by("uid"), weights, mean, window)
 
     packed = (rests.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-              .groupBy("shard").applyInPandas(fill, _PIECE))
+              .groupBy("shard").applyInArrow(fill, _PIECE))
     return whole.unionAll(packed)
 
 
@@ -114,8 +113,8 @@ def _idf(rests: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _fill_windows(shard: int, f: pd.DataFrame, idf: np.ndarray, mean: float, window: int) -> pd.DataFrame:
-    ids = [np.frombuffer(x, "<u4") for x in f.ids]
+def _fill_windows(rows: pa.Table, idf: np.ndarray, mean: float, window: int) -> pa.Table:
+    ids = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
     n = len(ids)
     terms, owner, weight, queries = [], [], [], []
     for d, x in enumerate(ids):
@@ -127,21 +126,15 @@ def _fill_windows(shard: int, f: pd.DataFrame, idf: np.ndarray, mean: float, win
         owner.append(np.full(len(t), d, np.int32))
         weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
     terms, owner, weight = np.concatenate(terms), np.concatenate(owner), np.concatenate(weight)
-    order = np.argsort(terms, kind="stable")
-    owner, weight = owner[order], weight[order]
-    ends = np.cumsum(np.bincount(terms, minlength=len(idf)))
-    starts = np.concatenate([[0], ends[:-1]])
+    index = _Index(terms, owner, weight, len(idf), n)
 
     def scores(seed: int) -> np.ndarray:
-        first, size = starts[queries[seed]], ends[queries[seed]] - starts[queries[seed]]
-        at = np.arange(size.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        return np.bincount(owner[at], weights=weight[at], minlength=n)
+        return index.scores(queries[seed], used < size)
 
-    base, doc_tokens = f.start.to_numpy(), f.doc_tokens.to_numpy()
-    doc_ids = f.doc_id.astype("object").where(f.doc_id.notna(), None).tolist()
+    doc_ids, base, doc_tokens = (rows.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
     used = np.zeros(n, np.int64)  # ids of each rest that lie in a piece
     size = np.array([len(x) for x in ids])
-    out, sequence, seed = [], int(shard) << 24, 0
+    out, sequence, seed = [], rows.column("shard")[0].as_py() << 24, 0
     while True:
         while seed < n and used[seed] == size[seed]:
             seed += 1
@@ -152,17 +145,41 @@ def _fill_windows(shard: int, f: pd.DataFrame, idf: np.ndarray, mean: float, win
         for d in _neighbours(seed if cut is None else cut, scores, used, size):
             take = min(room, int(size[d] - used[d]))
             at = int(used[d])
-            out.append((doc_ids[d], int(base[d]) + at, take, int(doc_tokens[d]), sequence, offset,
+            out.append((doc_ids[d], base[d] + at, take, doc_tokens[d], sequence, offset,
                         ids[d][at:at + take].tobytes(), d))
             used[d] += take
             room, offset = room - take, offset + take
             if not room:
                 break
         sequence += 1
-    got = pd.DataFrame([x[:7] for x in out],
-                       columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-    got["doc_id"] = got["doc_id"].astype("Int64")
-    return got
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    return pa.table([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*out))], names)
+
+
+class _Index:
+    """Postings of one shard by term. Postings of used documents are dropped
+    whenever a third of those it holds is used."""
+
+    def __init__(self, terms: np.ndarray, owner: np.ndarray, weight: np.ndarray, vocabulary: int, n: int):
+        order = np.argsort(terms, kind="stable")
+        self.vocabulary, self.n, self.live = vocabulary, n, n
+        self._set(terms[order], owner[order], weight[order])
+
+    def _set(self, terms: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
+        self.terms, self.owner, self.weight = terms, owner, weight
+        self.size = np.bincount(terms, minlength=self.vocabulary)
+        self.start = np.cumsum(self.size) - self.size
+
+    def scores(self, query: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        left = int(unused.sum())
+        if 3 * left < 2 * self.live:
+            keep = unused[self.owner]
+            self._set(self.terms[keep], self.owner[keep], self.weight[keep])
+            self.live = left
+        size = self.size[query]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[query] - ends + size, size)
+        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
 
 
 def _cut_last(used: np.ndarray, size: np.ndarray, out: list) -> int | None:
