@@ -9,7 +9,7 @@
 3. Components of the links (large-star, small-star). Buckets that still hold
    more than one component are settled exactly: those members that are not in
    the smallest one's component are compared with every member of another
-   component, block against block, and what passes is verified too.
+   component, block against block: by signature, then on the full sets.
 4. Each row gets the smallest id of its component.
 """
 
@@ -128,28 +128,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 right, bt = shingle_sets(p.column(3).cast(pa.binary()).to_pylist(), width)
                 ok = []
                 for i in range(p.num_rows):
-                    x, y = left[at[i]:at[i + 1]], right[bt[i]:bt[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                    ok.append(_similar(left[at[i]:at[i + 1]], right[bt[i]:bt[i + 1]], percent))
                 yield pa.RecordBatch.from_arrays(p.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = scratch.cut(texts.join(wanted, texts.doc_id == wanted.id, "left_semi"), "texts")
-    joined = (pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-              .join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
+    joined = (pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+              .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b"))
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _open_pairs(members: DataFrame, least: int) -> DataFrame:
-    """Pairs of members (band, key, rep, root, main, signature) of one bucket, one
-    of them outside the bucket's main component, in different components, whose
-    signatures agree. Members are dealt into blocks of about BLOCK; a group is
-    one block of the outsiders against one block of all."""
+def _open_links(members: DataFrame, least: int, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (band, key, rep, root, main, bands, signature,
+    text) of one bucket that are in different components, one of them outside the
+    bucket's main component. Members are dealt into blocks of about BLOCK; a group
+    is one block of the outsiders against one block of all, and gives no more
+    links than it has members. A pair is looked at in its first common band only."""
     sizes = scratch.cut(members.groupBy("band", "key").agg(
         F.ceil(F.count("*") / BLOCK).alias("all_blocks"),
         F.ceil(F.count(F.when(F.col("root") != F.col("main"), 1)) / BLOCK).alias("out_blocks")), "buckets")
     dealt = members.join(sizes, ["band", "key"]).withColumn("h", F.xxhash64("rep", "band"))
-    columns = ("band", "key", "i", "j", "rep", "root", "signature", "outside")
+    columns = ("band", "key", "i", "j", "rep", "root", "bands", "signature", "text", "outside")
     every = (dealt.withColumn("j", F.pmod("h", F.col("all_blocks")).cast("long"))
              .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_blocks") - 1)))
              .withColumn("outside", F.lit(False)).select(*columns))
@@ -159,21 +156,31 @@ def _open_pairs(members: DataFrame, least: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         out = t.column("outside").to_numpy()
-        rep, root = t.column("rep").to_numpy(), t.column("root").to_numpy()
+        rep, root = t.column("rep").to_numpy(), t.column("root").to_numpy().copy()
         marks = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(rep), -1)
-        a, b = [], []
-        other = np.flatnonzero(~out)
+        keys = np.array(t.column("bands").to_pylist(), np.int64)
+        band = t.column("band")[0].as_py()
+        sets, begin = shingle_sets(t.column("text").cast(pa.binary()).to_pylist(), width)
+        other, links = np.flatnonzero(~out), []
         for i in np.flatnonzero(out):
-            near = other[((marks[other] == marks[i]).sum(axis=1) >= least) & (root[other] != root[i])]
-            a.append(np.full(len(near), rep[i]))
-            b.append(rep[near])
-        a = np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64)
-        b = np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
+            near = other[(marks[other] == marks[i]).sum(axis=1) >= least]
+            near = near[~(keys[near, :band] == keys[i, :band]).any(axis=1)]
+            mine = sets[begin[i]:begin[i + 1]]
+            for j in near.tolist():
+                if root[j] != root[i] and _similar(mine, sets[begin[j]:begin[j + 1]], percent):
+                    links.append((rep[i], rep[j]))
+                    root[root == root[j]] = root[i]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return every.unionAll(outside).groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -203,14 +210,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     star = (banded.join(buckets, ["band", "key"]).where("rep <> centre")
             .select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     marked = reps.select("rep", "signature")
+    # Texts of representatives that share a bucket, the only ones to be compared.
+    shared = banded.join(buckets, ["band", "key"]).select("rep").distinct()
+    own = scratch.cut(texts.join(shared, F.col("doc_id") == F.col("rep"), "left_semi")
+                      .select(F.col("doc_id").alias("rep"), "text"), "texts")
     star = (star.join(marked.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
             .join(marked.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a"))
     # An id that is repeated with other texts is one node: its classes are linked.
     cls = F.struct("s1", "s2", "n_shingles")
     several = full.groupBy("doc_id").agg(F.min(cls).alias("lo"), F.max(cls).alias("hi")).where("lo <> hi")
-    own = full.join(several.select("doc_id"), "doc_id", "left_semi").join(named, same).select(
+    repeated = full.join(several.select("doc_id"), "doc_id", "left_semi").join(named, same).select(
         F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = scratch.cut(_verified(scratch.cut(_agreeing(star, least), "pairs"), texts, width, percent).union(own), "links")
+    first = scratch.cut(_verified(scratch.cut(_agreeing(star, least), "pairs"), own, width, percent).union(repeated),
+                        "links")
     roots = scratch.cut(components(first), "roots")
     labelled = (banded.join(buckets.where("n > 2"), ["band", "key"])
                 .join(roots, F.col("rep") == F.col("node"), "left")
@@ -219,8 +231,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         labelled.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                             F.min(F.struct("rep", "root")).alias("c"))
         .where("lo <> hi").select("band", "key", F.col("c.root").alias("main")), "open")
-    members = labelled.select("band", "key", "rep", "root").join(open_, ["band", "key"]).join(marked, "rep")
-    more = _verified(scratch.cut(_open_pairs(scratch.cut(members, "members"), least), "pairs"), texts, width, percent)
+    members = scratch.cut(labelled.select("band", "key", "rep", "root").join(open_, ["band", "key"]), "members")
+    members = members.join(reps, "rep").join(own, "rep")
+    more = _open_links(members, least, width, percent)
     roots = scratch.cut(components(first.union(more)), "roots")
     known = sketch.join(named, same & F.col("doc_id").isNotNull(), "left")
     out = known.join(roots, F.col("rep") == F.col("node"), "left").select(
