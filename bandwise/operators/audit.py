@@ -63,13 +63,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def join_key_audit(consumers: DataFrame, products: DataFrame, geography: DataFrame) -> DataFrame:
-    """Duplicate right-hand join keys of the master join, per dimension."""
+    """Duplicate right-hand join keys of the master join, per dimension. A NULL
+    key matches nothing, so it multiplies no row and is not reported."""
     parts = [("consumer_insights", consumers, "user_id"),
              ("product_metadata", products, "product_id"),
              ("geography_occasion", geography, "order_id")]
     out = None
     for name, df, key in parts:
-        d = duplicate_keys(df.select(key), [key]).select(
+        d = duplicate_keys(df.select(key).filter(F.col(key).isNotNull()), [key]).select(
             F.lit(name).alias("dimension"), F.col(key).cast("string").alias("key"), "copies")
         out = d if out is None else out.unionByName(d)
     return out

@@ -7,7 +7,7 @@ import re
 from collections import OrderedDict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,28 +49,27 @@ def _size_row(df: DataFrame, name: str) -> DataFrame:
 
 
 # Size proofs already taken in this application, keyed by the plan's semantic
-# hash and the exact list of files it reads. Data files are treated as
-# immutable: Spark's writers and table formats give changed data new file
-# names, so a rewritten table gets a new key. A hit is double-checked with
-# sameSemantics. Whoever rewrites files in place under the same names must
-# call ``clear_size_proofs()``.
+# hash and the path, length and modification time of every file it reads, so a
+# file rewritten in place gives a new key. Relations without files are never
+# remembered. A hit is double-checked with sameSemantics.
 _PROOFS: OrderedDict[tuple, tuple[DataFrame, Size]] = OrderedDict()
 _PROOF_SLOTS = 256
 
 
 def clear_size_proofs() -> None:
-    """Forget every remembered size proof and file length."""
+    """Forget every remembered size proof."""
     _PROOFS.clear()
-    _FILE_BYTES.clear()
 
 
-def _proof_key(df: DataFrame, files: list[str] | None = None) -> tuple:
-    files = sorted(df.inputFiles()) if files is None else files
-    digest = hashlib.sha1("\n".join(files).encode()).hexdigest()
+def _proof_key(df: DataFrame, files: list[str], listing: dict[str, tuple]) -> tuple | None:
+    """None where nothing shows whether the data have changed."""
+    if not files:
+        return None
+    state = "\n".join(f"{f} {listing.get(_norm(f))}" for f in files)
+    digest = hashlib.sha1(state.encode()).hexdigest()
     return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), digest)
 
 
-_FILE_BYTES: OrderedDict[tuple, int] = OrderedDict()
 _EMPTY_AUTHORITY = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):///")
 
 
@@ -79,27 +78,25 @@ def _norm(path: str) -> str:
     return _EMPTY_AUTHORITY.sub(r"\1:/", path)
 
 
-def input_bytes_many(frames: dict[str, DataFrame],
-                     files: dict[str, list[str]] | None = None) -> dict[str, int]:
-    """Bytes of the files each DataFrame reads (0 for data without files).
+def _listing(spark: SparkSession, files: list[str]) -> dict[str, tuple]:
+    """(length, modification time) by path, as the files are now: one
+    metadata-only listing (the binary-file source reads no content for it)."""
+    if not files:
+        return {}
+    got = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime").collect()
+    return {_norm(r["path"]): (int(r["length"]), r["modificationTime"]) for r in got}
 
-    One metadata-only listing for all of them (the binary-file source reads
-    no content when only the length is selected); lengths are remembered per
-    application and path.
-    """
+
+def input_bytes_many(frames: dict[str, DataFrame], files: dict[str, list[str]] | None = None,
+                     listing: dict[str, tuple] | None = None) -> dict[str, int]:
+    """Bytes of the files each DataFrame reads (0 for data without files)."""
     if not frames:
         return {}
-    spark = next(iter(frames.values())).sparkSession
-    app = spark.sparkContext.applicationId
-    listed = files or {name: sorted(df.inputFiles()) for name, df in frames.items()}
-    files = {name: sorted(_norm(f) for f in listed[name]) for name in frames}
-    missing = sorted({f for fs in files.values() for f in fs if (app, f) not in _FILE_BYTES})
-    if missing:
-        for r in spark.read.format("binaryFile").load(missing).select("path", "length").collect():
-            _FILE_BYTES[(app, _norm(r["path"]))] = int(r["length"])
-        while len(_FILE_BYTES) > 64 * _PROOF_SLOTS:
-            _FILE_BYTES.popitem(last=False)
-    return {name: sum(_FILE_BYTES.get((app, f), 0) for f in fs) for name, fs in files.items()}
+    files = files or {name: sorted(df.inputFiles()) for name, df in frames.items()}
+    if listing is None:
+        spark = next(iter(frames.values())).sparkSession
+        listing = _listing(spark, sorted({f for name in frames for f in files[name]}))
+    return {name: sum(listing.get(_norm(f), (0,))[0] for f in files[name]) for name in frames}
 
 
 def measure_many(frames: dict[str, DataFrame], reuse: bool = True,
@@ -122,16 +119,20 @@ def measure_many(frames: dict[str, DataFrame], reuse: bool = True,
     out: dict[str, Size] = {}
     todo: dict[str, tuple[DataFrame, tuple]] = {}
     files = {name: sorted(df.inputFiles()) for name, df in frames.items()}
+    listing = {}
+    if frames:
+        spark = next(iter(frames.values())).sparkSession
+        listing = _listing(spark, sorted({f for fs in files.values() for f in fs}))
     if skip_above_bytes is not None:
-        on_disk = input_bytes_many({n: f for n, f in frames.items() if n in skippable}, files)
+        on_disk = input_bytes_many({n: f for n, f in frames.items() if n in skippable}, files, listing)
         for name, nbytes in on_disk.items():
             if nbytes > skip_above_bytes:
                 out[name] = Size(-1, nbytes)
     for name, df in frames.items():
         if name in out:
             continue
-        key = _proof_key(df, files[name])
-        hit = _PROOFS.get(key) if reuse else None
+        key = _proof_key(df, files[name], listing)
+        hit = _PROOFS.get(key) if reuse and key else None
         if hit is not None and hit[0].sameSemantics(df):
             _PROOFS.move_to_end(key)
             out[name] = hit[1]
@@ -146,7 +147,8 @@ def measure_many(frames: dict[str, DataFrame], reuse: bool = True,
             size = Size(int(r["n"] or 0), int(r["b"] or 0))
             df, key = todo[r["name"]]
             out[r["name"]] = size
-            _PROOFS[key] = (df, size)
+            if key:
+                _PROOFS[key] = (df, size)
             while len(_PROOFS) > _PROOF_SLOTS:
                 _PROOFS.popitem(last=False)
     return out

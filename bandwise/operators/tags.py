@@ -40,8 +40,9 @@ def claim_map(products: DataFrame, tags: Sequence[str], match: str = "substring"
 def tag_lists(tag_rel: DataFrame, id_col: str = "product_id") -> DataFrame:
     """(product_id, tags): the tags of each product as one array (a product
     listed twice contributes its tags twice). Product-grain, so it can be
-    measured and broadcast like the product table itself."""
-    return tag_rel.groupBy(id_col).agg(F.collect_list("claim_tag").alias("tags"))
+    measured and broadcast like the product table itself. Rows without an id
+    match no order line and are left out."""
+    return tag_rel.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.collect_list("claim_tag").alias("tags"))
 
 
 def explode_with_total(df: DataFrame, tags_col: str = "tags", out: str = "claim_tag") -> DataFrame:

@@ -60,7 +60,7 @@ from bandwise.operators.tags import (
 )
 from bandwise.session import checkpoint_root
 from bandwise.sources.bindings import Roles
-from bandwise.sources.csv import load_table
+from bandwise.sources.csv import DIALECT, load_table
 
 P, Q, REV, OID = "price", "quantity", "line_revenue", "order_id"
 
@@ -187,7 +187,7 @@ def csv_round_trip(lines: OrderLines, role: str = "transactions") -> DataFrame:
     missing tokens, ``try_cast`` numbers), as the reference loads its CSVs."""
     spark = lines.raw.transactions.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/csv-{role}-{uuid.uuid4().hex}"
-    lines.raw.transactions.write.option("header", True).csv(path)
+    lines.raw.transactions.write.options(**DIALECT).csv(path)
     return load_table(spark, path, role)
 
 

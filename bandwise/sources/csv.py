@@ -12,6 +12,11 @@ from bandwise.functions.text import NA_TOKENS, na_to_null
 from bandwise.sources.schemas import NUMERIC_COLUMNS, ROLE_SCHEMAS
 
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Quoted cells may hold separators, doubled quotes and line breaks.
+DIALECT = {"header": True, "quote": '"', "escape": '"'}
+
+
 def text_schema(schema: T.StructType) -> T.StructType:
     """The same columns, all read as text."""
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
@@ -21,17 +26,18 @@ def coerce(raw: DataFrame, schema: T.StructType, numeric_cols: Sequence[str] = (
            na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Text columns -> declared types, the way the reference's loader does it.
 
-    Missing-value tokens become NULL; numeric columns go through
-    ``try_cast`` so bad text becomes NULL instead of failing the job, and an
-    integer column keeps a value only when it is whole. A pure projection,
-    so it works on batch and streaming frames alike.
+    Missing-value tokens become NULL; a numeric column keeps what is written as
+    a plain decimal number (no type suffixes, no currency signs), so bad text
+    becomes NULL instead of failing the job, and an integer column keeps a value
+    only when it is whole. A pure projection, so it works on batch and streaming
+    frames alike.
     """
     out = []
     for field in schema:
         text = na_to_null(F.col(field.name), na_tokens)
         if field.name in numeric_cols:
             number = F.expr(f"try_cast(`{field.name}` AS double)")
-            number = F.when(text.isNull(), F.lit(None)).otherwise(number)
+            number = F.when(text.isNotNull() & F.trim(F.col(field.name)).rlike(_NUMBER), number)
             if isinstance(field.dataType, (T.IntegerType, T.LongType)):
                 number = F.when(number == F.floor(number), number.cast(field.dataType))
             col = number.cast(field.dataType)
@@ -59,16 +65,20 @@ def load_table(
     schema: T.StructType | None = None,
     numeric_cols: Sequence[str] | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a headed CSV as one role table (W01).
 
     Every column is read as text (no inference, so ids stay text and a missing
-    id cannot turn ``1`` into ``1.0``), then coerced by ``coerce``. The scan is
-    split across tasks like any file source.
+    id cannot turn ``1`` into ``1.0``), then coerced by ``coerce``. With
+    ``multi_line`` a quoted cell may hold line breaks, which makes each file one
+    task; without it files are split across tasks like those of any source, for
+    data known to have no such cells.
     """
     schema, numeric_cols = role_schema(role, schema, numeric_cols)
     raw = (
-        spark.read.option("header", True)
+        spark.read.options(**DIALECT)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", False)
         .schema(text_schema(schema))

@@ -13,7 +13,7 @@ def _struct(*cols: tuple[str, T.DataType]) -> T.StructType:
 
 TRANSACTIONS = _struct(
     ("order_id", S), ("user_id", S), ("product_id", S), ("price", D),
-    ("quantity", I), ("timestamp", S), ("channel", S),
+    ("quantity", D), ("timestamp", S), ("channel", S),
 )
 CONSUMERS = _struct(
     ("user_id", S), ("persona", S), ("trend_affinity", S), ("age_group", S),

@@ -81,4 +81,4 @@ def test_size_proofs_can_be_cleared(spark, parquet_lines):
     joins.measure_many({"g": parquet_lines.geography})
     assert joins._PROOFS
     joins.clear_size_proofs()
-    assert not joins._PROOFS and not joins._FILE_BYTES
+    assert not joins._PROOFS

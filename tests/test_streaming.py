@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 from fixture_data import TRANSACTIONS, fixture_lines, rows
 
@@ -43,9 +45,24 @@ def test_running_bucket_counts_equal_batch_report(spark, scratch):
     assert streamed == batch
 
 
-def test_default_checkpoint_resumes(spark, scratch):
-    landing, table = os.path.join(scratch, "landing3"), os.path.join(scratch, "table3")
-    _split_csv(TRANSACTIONS, landing, 2)
-    ingest_role(spark, landing, "transactions", table).awaitTermination()
-    ingest_role(spark, landing, "transactions", table).awaitTermination()  # same default checkpoint
-    assert spark.read.parquet(table).count() == 12
+_RUN = """
+import sys
+from bandwise.session import local_session
+from bandwise.streaming import ingest_role
+landing, table, checkpoint = sys.argv[1:]
+ingest_role(local_session(2, 2), landing, "transactions", table, checkpoint).awaitTermination()
+"""
+
+
+def test_two_applications_ingest_every_file_once(spark, scratch):
+    landing, table, ckpt = (os.path.join(scratch, x) for x in ("landing3", "table3", "ckpt3"))
+    head, *body = TRANSACTIONS.strip().splitlines()
+    os.makedirs(landing)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for i in range(2):
+        with open(os.path.join(landing, f"new-{i}.csv"), "w") as fh:
+            fh.write("\n".join([head, *body[i::2]]) + "\n")
+        subprocess.run([sys.executable, "-c", _RUN, landing, table, ckpt], check=True, timeout=240,
+                       env=os.environ | {"PYTHONPATH": root})
+    ids = [r[0] for r in spark.read.parquet(table).select("order_id").collect()]
+    assert len(ids) == len(body) and spark.read.parquet(table).count() == 12
