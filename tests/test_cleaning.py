@@ -15,7 +15,7 @@ def test_load_table_types_and_na_tokens(spark, scratch):
     roles = fixture_roles(spark, scratch)
     tx = roles.transactions
     assert [f.dataType.simpleString() for f in tx.schema] == [
-        "string", "string", "string", "double", "int", "string", "string"]
+        "string", "string", "string", "double", "double", "string", "string"]
     got = dict(rows(tx, "order_id", "price"))
     assert got["o10"] is None  # 'abc' -> NULL, no error
     assert got["o1"] == 9.99
@@ -26,13 +26,13 @@ def test_load_table_types_and_na_tokens(spark, scratch):
     assert dict(rows(roles.consumers, "user_id", "persona"))["u2"] == "  "
 
 
-def test_load_table_integer_column_keeps_whole_values_only(spark, scratch):
+def test_load_table_keeps_fractional_quantities(spark, scratch):
     path = f"{scratch}/tx.csv"
     with open(path, "w") as fh:
         fh.write("order_id,user_id,product_id,price,quantity,timestamp,channel\n"
                  "a,u,p,1.5,2,t,c\nb,u,p,2,1.5,t,c\nc,u,p,NaN,3.0,t,c\n")
     got = rows(load_table(spark, path, "transactions"), "order_id", "price", "quantity")
-    assert got == [("a", 1.5, 2), ("b", 2.0, None), ("c", None, 3)]
+    assert got == [("a", 1.5, 2.0), ("b", 2.0, 1.5), ("c", None, 3.0)]
 
 
 def test_clean_transactions(spark, scratch):

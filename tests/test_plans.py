@@ -36,7 +36,7 @@ def test_cleaning_filters_and_pruning_reach_the_scan(parquet_lines):
     text = plan(r.price_bucket_distribution(parquet_lines))
     scan = [line for line in text.splitlines() if "FileScan parquet" in line and "transactions" in line][0]
     assert "GreaterThan(price,0.0)" in scan and "LessThanOrEqual(price,225.0)" in scan
-    assert "GreaterThan(quantity,0)" in scan
+    assert "GreaterThan(quantity,0.0)" in scan
     read_schema = scan.split("ReadSchema: ")[1]
     assert "channel" not in read_schema and "timestamp" not in read_schema
     assert "user_id" not in read_schema
