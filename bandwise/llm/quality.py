@@ -5,9 +5,14 @@ the shorter n-grams and the discounts come from sharded aggregations. N-grams of
 order 3 to 5 are dealt into shards by their language and context's last two
 bytes, so that an n-gram, its context and all that it backs off to lie in one
 shard; the number of shards follows the model's size, which keeps each of them
-below ``SHARD_GRAMS`` n-grams. Each shard is joined with the documents map-side
-and adds its share of their log probabilities. Documents whose perplexity lies
-outside quantiles of the trusted texts of their language are rejected.
+near ``SHARD_GRAMS`` n-grams.
+
+Documents lie in blocks. Each block sends every shard its distinct 5-grams once;
+a shard that is asked very much is dealt out by block, its n-grams to each part.
+The join gives a log probability per 5-gram, which goes back to the block and is
+added up per document. Neither the model nor the documents pass the driver.
+Documents whose perplexity lies above a quantile of the trusted texts of their
+language are rejected.
 """
 
 from __future__ import annotations
@@ -20,31 +25,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandwise.llm import blocks as bl
 from bandwise.llm import scratch
 from bandwise.llm.blocks import slices
 
 ORDER = 5
 SHARD_GRAMS = 2_000_000
-CHAIN = 4
+BLOCK_BYTES = 16 << 20
 SLICE = 1 << 20
 HELD = 1 << 21
 BROADCAST_IDS = 4_000_000
 HIGH, SLACK = 0.995, 1.05
+SPREAD = 2654435761  # multiplicative hashing
 _PAD = b"\n" * (ORDER - 1)
 _LANG = np.uint64(8 * ORDER)
 
 
-def _grams(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(texts: list[bytes], langs: np.ndarray, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The 5-gram that ends at each byte of the texts, with its language's number
-    above its bytes, and the number of the text each belongs to."""
-    size = np.array([len(t) for t in texts], np.int64)
+    above its bytes, and the number of the text each belongs to; ``most`` bytes at
+    a time, in the middle of a text too."""
+    ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
     data = np.frombuffer(_PAD + _PAD.join([*texts, b""]), np.uint8)
-    doc = np.repeat(np.arange(len(texts)), size)
-    at = np.arange(size.sum()) + (ORDER - 1) * (doc + 1)
-    key = langs.astype(np.uint64)[doc]
-    for back in range(ORDER - 1, -1, -1):
-        key = (key << np.uint64(8)) | data[at - back]
-    return key, doc
+    codes = langs.astype(np.uint64)
+    for first in range(0, int(ends[-1]) if len(ends) else 0, most):
+        at = np.arange(first, min(first + most, int(ends[-1])))
+        doc = np.searchsorted(ends, at, side="right")
+        at = at + (ORDER - 1) * (doc + 1)
+        key = codes[doc]
+        for back in range(ORDER - 1, -1, -1):
+            key = (key << np.uint64(8)) | data[at - back]
+        yield key, doc
 
 
 def _count(langs: dict[str, int]):
@@ -60,12 +71,12 @@ def _count(langs: dict[str, int]):
         for b in batches:
             for part in slices(b, 1, SLICE):
                 codes = np.array([langs[x] for x in part.column(0).to_pylist()], np.int64)
-                keys, _ = _grams(part.column(1).cast(pa.binary()).to_pylist(), codes)
-                held.append(np.unique(keys, return_counts=True))
-                size += len(held[-1][0])
-                if size > HELD:
-                    yield flush()
-                    held, size = [], 0
+                for keys, _ in _grams(part.column(1).cast(pa.binary()).to_pylist(), codes):
+                    held.append(np.unique(keys, return_counts=True))
+                    size += len(held[-1][0])
+                    if size > HELD:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
@@ -111,7 +122,8 @@ class Model:
                 for k in range(3, ORDER + 1)]
         all_ = high[0].unionAll(high[1]).unionAll(high[2])
         self.shards = max(1, -(-sum(orders[k].count() for k in range(3, ORDER + 1)) // shard_grams))
-        self.high = all_.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(self.shards))).select("shard", "k", "gram", "c")
+        self.high = all_.withColumn("shard", F.expr(
+            f"shiftright(place * {SPREAD}L & 4294967295L, 8) % {self.shards}")).select("shard", "k", "gram", "c")
 
     @staticmethod
     def _discounts(df: DataFrame, k: int) -> dict[int, np.ndarray]:
@@ -131,8 +143,11 @@ class Model:
     def tables(self, shard: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """n-grams and counts of one shard by order, sorted. Bounded by the number
         of n-grams a shard holds."""
-        got = self.high.where(F.col("shard") == shard).toPandas()
-        return {k: _sorted(got[got.k == k]) for k in range(3, ORDER + 1)} | self.small
+        return _tables(self.high.where(F.col("shard") == shard).toPandas(), self.small)
+
+
+def _tables(high: pd.DataFrame, small: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {k: _sorted(high[high.k == k]) for k in range(3, ORDER + 1)} | small
 
 
 def _sorted(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -175,63 +190,84 @@ class Scorer:
         return np.log(p)
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> np.uint64(8)) & np.uint64(65535)) | ((keys >> _LANG) << np.uint64(16))
-
-
-def score(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with two columns in front: ``log_p``, the natural log
-    probability of the text's bytes (null where the model does not have its
-    language), and ``n_grams``, their number. One map per shard, no shuffle; after
-    every CHAIN shards the rows are written, so no task holds more than that."""
-    names = docs.columns
-    rows = docs.select(F.lit(0.0).alias("log_p"), F.lit(0).cast("long").alias("n_grams"),
-                       F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"),
-                       F.struct("*").alias("__row"))
-    spark, shards, langs = docs.sparkSession, model.shards, model.langs
-    schema = rows.schema
-    hashed = None
-    if shards > 1:  # which shard holds a place: by the same hash as the model's tables
-        hashed = spark.sparkContext.broadcast(_shard_of(model))
-
-    for shard in range(shards):
-        data = spark.sparkContext.broadcast((model.tables(shard), model.discounts, len(langs)))
-
-        def run(batches, shard=shard, data=data):
-            scorer = Scorer(*data.value)
-            for b in batches:
-                for part in slices(b, 3, SLICE):
-                    yield _add(part, scorer, shard, langs, hashed)
-
-        rows = rows.mapInArrow(run, schema)
-        if shard % CHAIN == CHAIN - 1 and shard + 1 < shards:
-            rows = scratch.cut(rows, "scored")
-    return rows.select(F.when(F.col("__lang").isin(list(langs)), F.col("log_p")).alias("log_p"), "n_grams",
-                       *[F.col("__row")[n].alias(n) for n in names])
-
-
-def _shard_of(model: Model) -> dict[int, int]:
-    """Shard of each place. At most 65,536 places a language."""
-    rows = model.high.select("shard", F.expr(
-        "shiftright(gram, 8) & 65535L | (shiftright(gram, 8 * k) << 16)").alias("place")).distinct().collect()
-    return {r.place: r.shard for r in rows}
-
-
-def _add(part: pa.RecordBatch, scorer: Scorer, shard: int, langs: dict, hashed) -> pa.RecordBatch:
-    codes = np.array([langs.get(x, 0) for x in part.column(2).to_pylist()], np.int64)
-    keys, doc = _grams(part.column(3).cast(pa.binary()).to_pylist(), codes)
-    n = np.bincount(doc, minlength=part.num_rows).astype(np.int64)
-    if hashed is not None:
-        place, back = np.unique(_places(keys), return_inverse=True)
-        own = np.array([hashed.value.get(p, 0) for p in place.tolist()], np.int64)[back] == shard if len(keys) else \
-            np.zeros(0, bool)
-        keys, doc = keys[own], doc[own]
-    found, back = np.unique(keys, return_inverse=True)
-    log_p = np.bincount(doc, weights=scorer.log(found)[back], minlength=part.num_rows) if len(keys) else \
-        np.zeros(part.num_rows)
-    total = part.column(0).to_numpy() + log_p
-    return pa.RecordBatch.from_arrays([pa.array(total), pa.array(n), *part.columns[2:]], schema=part.schema)
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """For ``blocks.by_shard``: what the model's ``shard`` is made from."""
+    place = ((keys >> np.uint64(8)) & np.uint64(65535)) | ((keys >> _LANG) << np.uint64(16))
+    return (place * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF)) >> np.uint64(8) << np.uint64(33)
+
+
+class _Asker:
+    """What blocks of documents ask, and what they make of the answers."""
+
+    def __init__(self, langs: dict[str, int], shards: int, text_at: int, lang_at: int):
+        self.langs, self.shards, self.text_at, self.lang_at = langs, shards, text_at, lang_at
+
+    def grams(self, table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        texts = [t or b"" for t in table.column(self.text_at).cast(pa.binary()).to_pylist()]
+        codes = np.array([self.langs.get(x, 0) for x in table.column(self.lang_at).cast(pa.string()).to_pylist()], np.int64)
+        return _grams(texts, codes)
+
+    def distinct(self, table: pa.Table) -> np.ndarray:
+        parts = [pd.unique(keys) for keys, _ in self.grams(table)]
+        return np.sort(pd.unique(np.concatenate(parts))) if parts else np.zeros(0, np.uint64)
+
+    def question(self, block: int, table: pa.Table) -> list[dict]:
+        keys = self.distinct(table)
+        return bl.by_shard(block, _spread(keys), [keys.view(np.int64)], self.shards)
+
+    def sums(self, table: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability and number of 5-grams of each text."""
+        keys = self.distinct(table)
+        # As by_shard ordered what was asked.
+        asked = np.argsort((_spread(keys) >> np.uint64(33)) % np.uint64(self.shards), kind="stable")
+        parts = right.sort_by("shard").column("data").to_pylist()
+        logs = np.empty(len(keys))
+        logs[asked] = np.frombuffer(b"".join(parts), np.float64)
+        index = pd.Index(keys)
+        log_p, n = np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
+        for found, doc in self.grams(table):
+            log_p += np.bincount(doc, weights=logs[index.get_indexer(found)], minlength=table.num_rows)
+            n += np.bincount(doc, minlength=table.num_rows)
+        return log_p, n
+
+
+def score(blocks: DataFrame, model: Model, text_at: int, lang_at: int, id_at: int) -> DataFrame:
+    """block, row, id, lang, log_p (natural log probability of the text's bytes,
+    null where the model does not have its language), n_grams (their number) of
+    each row in ``blocks``; text, language and id are the columns so numbered."""
+    asker = _Asker(model.langs, model.shards, text_at, lang_at)
+    asked = scratch.cut(bl.ask(blocks, asker.question), "asked")
+    # One row per shard; shards are no more than 65,536 a language.
+    parts = scratch.cut(asked.groupBy("shard").agg(
+        F.ceil(F.sum("n") / bl.SHARD_ENTRIES).cast("long").alias("parts")), "parts")
+    asked = asked.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")))
+    grams = model.high.join(F.broadcast(parts), "shard").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    langs = model.langs
+    rest = blocks.sparkSession.sparkContext.broadcast((model.small, model.discounts, len(langs)))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        small, discounts, languages = rest.value
+        scorer = Scorer(_tables(right.select(["k", "gram", "c"]).to_pandas(), small), discounts, languages)
+        data = []
+        for x in left.column("data").to_pylist():
+            (keys,) = bl.split(x, len(x) // 8, ["i8"])
+            data.append(scorer.log(keys.view(np.uint64)).tobytes())
+        return pa.table([left.column("block"), left.column("shard"), pa.array(data, pa.binary())], ["block", "shard", "data"])
+
+    answers = (asked.select("shard", "part", "block", "data").groupBy("shard", "part")
+               .cogroup(grams.select("shard", "part", "k", "gram", "c").groupBy("shard", "part"))
+               .applyInArrow(answer, "block long, shard long, data binary"))
+
+    def use(block: int, table: pa.Table, right: pa.Table) -> pa.Table:
+        log_p, n = asker.sums(table, right)
+        lang = table.column(lang_at).cast(pa.string()).to_pylist()
+        known = [p if x in langs else None for p, x in zip(log_p.tolist(), lang)]
+        return pa.table([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n))), table.column(id_at).cast(pa.int64()),
+                         pa.array(lang, pa.string()), pa.array(known, pa.float64()), pa.array(n)],
+                        ["block", "row", "id", "lang", "log_p", "n_grams"])
+
+    return bl.bring(blocks, answers, use, "block long, row long, id long, lang string, log_p double, n_grams long")
 
 
 def _held_out(column: str):
@@ -240,6 +276,47 @@ def _held_out(column: str):
     return F.pmod(F.xxhash64(column), F.lit(5)) == 0
 
 
+def _judged(blocks: DataFrame, base: DataFrame, labels: DataFrame, at: tuple[int, int, int], low: float | None,
+            high: float, slack: float, shard_grams: int) -> DataFrame:
+    """block, row, id, lang, perplexity, kept. ``base`` has the columns doc_id, lang
+    and text; ``at`` are the numbers of the columns text, language and id."""
+    ids = scratch.cut(trusted_ids(labels), "trusted")
+    trusted = _among(base.where("lang IS NOT NULL AND text <> ''").where(~_held_out("doc_id")), ids)
+    model = Model(trusted, shard_grams)
+    scored = scratch.cut(score(blocks, model, *at).select(
+        "block", "row", "id", "lang", F.when(F.col("n_grams") > 0, F.exp(-F.col("log_p") / F.col("n_grams"))).alias("perplexity")),
+        "scores")
+    known = _among(scored.where("perplexity IS NOT NULL").withColumnRenamed("id", "doc_id").where(_held_out("doc_id")), ids)
+    limits = known.groupBy("lang").agg(F.percentile_approx("perplexity", [low or 0.0, high], 10000).alias("q")).collect()
+    keep = F.lit(True)
+    for r in limits:  # one row per language
+        out = F.col("perplexity") > r.q[1] * slack
+        if low is not None:
+            out = out | (F.col("perplexity") < r.q[0] / slack)
+        keep = F.when(F.col("lang") == r.lang, ~out).otherwise(keep)
+    return scored.withColumn("kept", F.coalesce(keep, F.lit(True)))
+
+
+def _in_blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, low, high, slack, shard_grams):
+    names = docs.columns
+    # Columns that clash with those added are taken by position.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = tuple(names.index(c) for c in (text_col, lang_col, id_col))
+    blocks = bl.to_blocks(plain, at[0], "judge", BLOCK_BYTES)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
+                       F.col(text_col).cast("string").alias("text"))
+    return plain, blocks, _judged(blocks, base, labels, at, low, high, slack, shard_grams)
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 lang_col: str = "lang", low: float | None = None, high: float = HIGH, slack: float = SLACK,
+                 shard_grams: int = SHARD_GRAMS) -> DataFrame:
+    """doc_id, lang, perplexity, kept of each row, judged as ``classify`` does."""
+    _, _, judged = _in_blocks(docs.select(id_col, lang_col, text_col), labels, id_col, text_col, lang_col, low, high,
+                              slack, shard_grams)
+    return judged.select(F.col("id").alias("doc_id"), "lang", "perplexity", "kept")
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", low: float | None = None, high: float = HIGH, slack: float = SLACK,
              shard_grams: int = SHARD_GRAMS) -> DataFrame:
@@ -252,27 +329,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     no trusted text, have no perplexity or no limit and are kept. Repeated rows are judged
     alike; without trusted texts all is kept; an empty table gives no rows.
     """
-    names = docs.columns
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
-                       F.col(text_col).cast("string").alias("text"))
-    ids = scratch.cut(trusted_ids(labels), "trusted")
-    trusted = _among(base.where("lang IS NOT NULL AND text <> ''").where(~_held_out("doc_id")), ids)
-    model = Model(trusted, shard_grams)
-    scored = score(docs, model, lang_col, text_col)
-    # Columns that are in both are taken by position.
-    inner = [f"__c{i}" for i in range(len(names))]
-    scored = scratch.cut(scored.toDF("__log_p", "__n", *inner), "scores")
-    ppl = F.when((F.col("__n") > 0), F.exp(-F.col("__log_p") / F.col("__n")))
-    scored = scored.withColumn("__ppl", ppl)
-    own_id, own_lang = inner[names.index(id_col)], inner[names.index(lang_col)]
-    known = _among(scored.select(F.col(own_id).cast("long").alias("doc_id"), F.col(own_lang).alias("lang"), "__ppl")
-                   .where("__ppl IS NOT NULL").where(_held_out("doc_id")), ids)
-    limits = known.groupBy("lang").agg(F.percentile_approx("__ppl", [low or 0.0, high], 10000).alias("q")).collect()
-    keep = F.lit(True)
-    for r in limits:  # one row per language
-        out = F.col("__ppl") > r.q[1] * slack
-        if low is not None:
-            out = out | (F.col("__ppl") < r.q[0] / slack)
-        keep = F.when(F.col(own_lang) == r.lang, ~out).otherwise(keep)
-    return scored.select(F.col("__ppl").alias("perplexity"), F.coalesce(keep, F.lit(True)).alias("kept"), *inner).toDF(
-        "perplexity", "kept", *names)
+    plain, blocks, judged = _in_blocks(docs, labels, id_col, text_col, lang_col, low, high, slack, shard_grams)
+
+    def attach(block: int, table: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("row")
+        return pa.table([right.column("perplexity"), right.column("kept"), *table.columns],
+                        ["perplexity", "kept", *table.column_names])
+
+    ddl = "perplexity double, kept boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return bl.bring(blocks, judged.select("block", "row", "perplexity", "kept"), attach, ddl).toDF(
+        "perplexity", "kept", *docs.columns)

@@ -40,8 +40,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(_docs(spark, sf_dir).select("doc_id", "lang", "text"), labels).select(
-        "doc_id", "lang", "perplexity", "kept")
+    return quality.perplexities(_docs(spark, sf_dir), labels)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
