@@ -30,7 +30,7 @@ SIMILAR = 0.6
 MIN_DOCS = 10
 RUN = 4096
 VARIABLE = "<*>"
-_TOKEN_WITH_DIGIT = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 
 
 def _hash(text: str) -> int:
@@ -39,7 +39,10 @@ def _hash(text: str) -> int:
 
 def masked(line: str) -> str:
     """The line's tokens, one space between them, those with a digit variable."""
-    return _TOKEN_WITH_DIGIT.sub(VARIABLE, " ".join(line.split()))
+    tokens = line.split()
+    if _DIGIT.search(line):
+        tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+    return " ".join(tokens)
 
 
 def leaf_of(tokens: list[str], depth: int) -> int:
@@ -156,10 +159,11 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def finish(block: int, table: pa.Table, right: pa.Table) -> pa.Table:
         drop = set(zip(right.column("doc").to_pylist(), right.column("line").to_pylist()))
+        touched = {d for d, _ in drop}
         texts, total, dropped = [], [], []
         for d, text in enumerate(table.column(text_at).to_pylist()):
             all_lines = _lines(text)
-            kept = [x for x in all_lines if (d, _hash(masked(x))) not in drop] if drop else all_lines
+            kept = [x for x in all_lines if (d, _hash(masked(x))) not in drop] if d in touched else all_lines
             texts.append("\n".join(kept))
             total.append(len(all_lines))
             dropped.append(len(all_lines) - len(kept))
