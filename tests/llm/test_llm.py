@@ -191,6 +191,32 @@ def test_bpe_round_trip(docs, rows, empty, chunk, overlap):
     assert bpe.encode_documents(empty, RANKS, P.PATTERN).count() == 0
 
 
+GAPS = ["x\ty\tz\n\n\nnext", "a\n\u00a0\u00a0b", "p\n\n\u3000\u3000q\u3000r", "a\rb\r\n \n c", "a\u2003b  c", "a \t b\tc",
+        "one two\nthree", "a\x85b\n\nc", "a\x1cb  c"]
+
+
+def test_gaps_that_make_up_for_each_other(spark, scratch):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(GAPS)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode_documents(docs, RANKS, P.PATTERN).collect()}
+    assert got == {i: _bytes(enc.encode_ordinary(t)) for i, t in enumerate(GAPS)}
+    packed = {r.doc_id: bytes(r.ids) for r in packing.pack(docs, JSON).collect()}
+    assert packed == {i: _bytes([*_ids(t), 1]) for i, t in enumerate(GAPS)}
+    token_store.write(docs, JSON, scratch + "/gaps")
+    stored = {r.doc_id: r.ids_crc32 for r in token_store.digests(token_store.read(spark, scratch + "/gaps")).collect()}
+    assert stored == {i: zlib.crc32(_bytes([*_ids(t), 2])) for i, t in enumerate(GAPS)}
+
+
+def test_every_white_space_is_known():
+    odd = {c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"}
+    assert odd == {c for c in map(chr, range(0x110000)) if bpe._ODD.search(c)}
+
+
 def test_token_store(spark, docs, rows, empty, scratch):
     token_store.write(docs, JSON, scratch + "/a", block_bytes=200)
     got = sorted(token_store.digests(token_store.read(spark, scratch + "/a")).collect())
