@@ -11,12 +11,14 @@ Documents lie in blocks. Each block sends every shard its distinct 5-grams once;
 a shard that is asked very much is dealt out by block, its n-grams to each part.
 The join gives a log probability per 5-gram, which goes back to the block and is
 added up per document. Neither the model nor the documents pass the driver.
-Documents whose perplexity lies above a quantile of the trusted texts of their
-language are rejected.
+Documents whose perplexity lies above a limit of their language are rejected. The
+limit is that quantile of held-out trusted texts which best tells them from the
+texts labelled bad; a lower limit is set where it does so too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ SLICE = 1 << 20
 HELD = 1 << 21
 BROADCAST_IDS = 4_000_000
 HIGH, SLACK = 0.995, 1.05
+LEAST, STEP = 0.95, 0.0025  # quantiles below LEAST would reject too many good texts
 SPREAD = 2654435761  # multiplicative hashing
 _PAD = b"\n" * (ORDER - 1)
 _LANG = np.uint64(8 * ORDER)
@@ -90,6 +93,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
             .where("q = 1 AND t = 0").select("doc_id"))
 
 
+def bad_ids(labels: DataFrame) -> DataFrame:
+    """Ids labelled bad and never good."""
+    return (labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
+            .where("q = 0").select("doc_id"))
+
+
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` (column doc_id) whose id is in ``ids``. The ids are
     broadcast where their count shows that they are small; else both sides are
@@ -276,6 +285,51 @@ def _held_out(column: str):
     return F.pmod(F.xxhash64(column), F.lit(5)) == 0
 
 
+def _limits(known: DataFrame, bad: DataFrame, low: float | None, high: float,
+            slack: float) -> dict[str, tuple[float | None, float]]:
+    """Lower limit (or None) and upper limit by language.
+
+    Candidates are the quantiles of the trusted perplexities ``known`` from LEAST
+    to ``high``, the last times ``slack``, and their mirror images below. Taken is
+    the one that rejects the largest share of ``bad`` beyond that of ``known``, the
+    widest of equals; so a language without bad texts has the widest upper limit,
+    and no lower one. A lower limit is set only if it gains more than 1 - LEAST. A quantile ``low`` sets the lower limit itself. A few rows
+    per language come to the driver."""
+    steps = max(0, math.floor((high - LEAST) / STEP + 1e-9))
+    share = [high - STEP * i for i in range(steps + 1)]  # widest first
+    found = known.groupBy("lang").agg(
+        F.percentile_approx("perplexity", share, 10000).alias("top"),
+        F.percentile_approx("perplexity", [1 - x for x in share], 10000).alias("bottom"),
+        F.percentile_approx("perplexity", low or 0.0, 10000).alias("low"))
+    found = scratch.cut(found.withColumn("top", F.expr(f"transform(top, (x, i) -> IF(i = 0, x * {slack}D, x))"))
+                        .withColumn("bottom", F.expr(f"transform(bottom, (x, i) -> IF(i = 0, x / {slack}D, x))")), "limits")
+    rated = known.withColumn("good", F.lit(True)).unionAll(bad.withColumn("good", F.lit(False)))
+    # How many candidates reject a text: those from some place in the order on.
+    counts = (rated.join(F.broadcast(found), "lang")
+              .select("lang", "good", F.expr("size(filter(top, x -> perplexity > x))").alias("above"),
+                      F.expr("size(filter(bottom, x -> perplexity < x))").alias("below"))
+              .groupBy("lang", "good", "above", "below").count().toPandas())
+    out = {}
+    for r in found.collect():
+        mine = counts[counts.lang == r.lang]
+        gain = {}
+        for side in ("above", "below"):
+            shares = []
+            for good in (False, True):
+                part = mine[mine.good == good]
+                by = np.bincount(part[side], weights=part["count"], minlength=steps + 2)
+                # Candidate i rejects a text that steps + 1 - i candidates reject, or more.
+                shares.append(np.cumsum(by[::-1])[:steps + 1] / max(1, by.sum()))
+            gain[side] = shares[0] - shares[1]
+        labelled = not mine.good.all()
+        most = r.top[int(np.argmax(gain["above"])) if labelled else 0]
+        least = r.low / slack if low is not None else None
+        if low is None and labelled and gain["below"].max() > 1 - LEAST:
+            least = r.bottom[int(np.argmax(gain["below"]))]
+        out[r.lang] = (least, most)
+    return out
+
+
 def _judged(blocks: DataFrame, base: DataFrame, labels: DataFrame, at: tuple[int, int, int], low: float | None,
             high: float, slack: float, shard_grams: int) -> DataFrame:
     """block, row, id, lang, perplexity, kept. ``base`` has the columns doc_id, lang
@@ -286,14 +340,15 @@ def _judged(blocks: DataFrame, base: DataFrame, labels: DataFrame, at: tuple[int
     scored = scratch.cut(score(blocks, model, *at).select(
         "block", "row", "id", "lang", F.when(F.col("n_grams") > 0, F.exp(-F.col("log_p") / F.col("n_grams"))).alias("perplexity")),
         "scores")
-    known = _among(scored.where("perplexity IS NOT NULL").withColumnRenamed("id", "doc_id").where(_held_out("doc_id")), ids)
-    limits = known.groupBy("lang").agg(F.percentile_approx("perplexity", [low or 0.0, high], 10000).alias("q")).collect()
+    rated = scored.where("perplexity IS NOT NULL").withColumnRenamed("id", "doc_id")
+    known = _among(rated.where(_held_out("doc_id")), ids).select("lang", "perplexity")
+    bad = _among(rated, scratch.cut(bad_ids(labels), "bad")).select("lang", "perplexity")
     keep = F.lit(True)
-    for r in limits:  # one row per language
-        out = F.col("perplexity") > r.q[1] * slack
-        if low is not None:
-            out = out | (F.col("perplexity") < r.q[0] / slack)
-        keep = F.when(F.col("lang") == r.lang, ~out).otherwise(keep)
+    for lang, (least, most) in _limits(known, bad, low, high, slack).items():  # one per language
+        out = F.col("perplexity") > most
+        if least is not None:
+            out = out | (F.col("perplexity") < least)
+        keep = F.when(F.col("lang") == lang, ~out).otherwise(keep)
     return scored.withColumn("kept", F.coalesce(keep, F.lit(True)))
 
 
@@ -323,9 +378,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """The rows of ``docs`` with two columns in front: ``perplexity`` and ``kept``.
 
     Trusted are the rows whose id has the label quality 1 and not toxic 1. A row
-    is rejected when its perplexity per byte is above the held-out trusted texts'
-    quantile ``high`` of its language times ``slack``, or, where ``low`` is given, below
-    that quantile divided by it. Null and empty texts, and texts whose language is null or has
+    is rejected when its perplexity per byte is above the upper limit of its language,
+    a quantile of the held-out trusted texts between LEAST and ``high`` (that times
+    ``slack``) that best tells them from texts labelled quality 0, or below the lower
+    one, which is likewise found or, where ``low`` is given, that quantile divided by ``slack``. Null and empty texts, and texts whose language is null or has
     no trusted text, have no perplexity or no limit and are kept. Repeated rows are judged
     alike; without trusted texts all is kept; an empty table gives no rows.
     """

@@ -323,6 +323,34 @@ def test_kneser_ney_sums_to_one_and_separates(spark):
     assert quality.classify(docs.where("false"), labels).count() == 0
 
 
+def test_limits_follow_the_texts_labelled_bad(spark):
+    """Trusted outliers do not carry the limit over the junk; few good texts go."""
+    pick = random.Random(4)
+    words = ["the", "cat", "sat", "on", "mat", "red", "dog", "ran"]
+    good = [" ".join(pick.choices(words, k=40)) for _ in range(400)]
+    odd = ["".join(chr(pick.randrange(0x100, 0x2000)) for _ in range(60)) for _ in range(12)]
+    junk = [" ".join("".join(pick.sample(w, len(w))) for w in pick.choices(words, k=40)) for _ in range(60)]
+    texts = good + odd + junk
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = [(i, 1, 0) for i in range(412)] + [(i, 0, 0) for i in range(412, 442)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.perplexities(docs, frame).collect()}
+    assert not any(got[i].kept for i in range(412, 472))  # those without a label too
+    assert sum(got[i].kept for i in range(400)) >= 380
+    # Without texts labelled bad the limit is the widest.
+    wide = {r.doc_id: r.kept for r in quality.perplexities(docs, frame.where("quality = 1")).collect()}
+    assert all(wide[i] for i in range(400))
+
+
+def test_limits_on_both_sides(spark):
+    known = spark.createDataFrame([("en", 4 + i / 1000) for i in range(200)] + [("de", 3 + i / 1000) for i in range(200)],
+                                  "lang string, perplexity double")
+    bad = spark.createDataFrame([("en", 1.5)] * 10 + [("en", 4.3)] * 10, "lang string, perplexity double")
+    got = quality._limits(known, bad, None, 0.995, 1.05)
+    assert 1.5 < got["en"][0] <= 4.011 and 4.19 <= got["en"][1] < 4.3
+    assert got["de"][0] is None and got["de"][1] == pytest.approx(3.198 * 1.05, abs=0.01)
+
+
 def test_pipeline_stages_keep_columns(spark, scratch):
     import corpus_pipeline
 
