@@ -7,8 +7,11 @@ positions become variable fields. Templates that occur in many documents are
 dropped, line by line, from every document.
 
 Only hashes travel for lines that are alone in their leaf. A leaf with very many
-different lines is dealt into runs that are parsed apart; a template is known by
-its text, so runs that find the same one count together.
+different lines is parsed in rounds: sorted by its tokens from one position on,
+it is cut into runs, and what the runs leave, templates and lone lines, goes on
+to the next round, which sorts from the next position on. Lines that agree from
+some position on lie together in that round. A leaf that has become small enough
+is finished in one run.
 """
 
 from __future__ import annotations
@@ -83,6 +86,80 @@ def cluster(lines: list[str], similar: float) -> dict[str, str]:
     return out
 
 
+_FOUND = "line long, template long, text string"
+
+
+def _found(pairs: list[tuple[str, str]]) -> pa.Table:
+    """line, template (their hashes), text (the template's); a template without a
+    constant token is none."""
+    pairs = [(line, t) for line, t in pairs if _constant(t.split(" "))]
+    return pa.table([pa.array([_hash(line) for line, _ in pairs], pa.int64()),
+                     pa.array([_hash(t) for _, t in pairs], pa.int64()),
+                     pa.array([t for _, t in pairs], pa.string())], ["line", "template", "text"])
+
+
+def _rounds(items: DataFrame, whole, depth: int, similar: float, run: int, shards: int) -> DataFrame:
+    """line, template of the lines that share one, for leaves of more than ``run``
+    lines; ``items`` has the columns leaf and line. In round i a leaf is sorted by
+    its tokens from the i-th after the leading ones on; there are as many rounds as
+    it has such tokens, or fewer if it gets small. ``whole`` does the rest."""
+
+    def generalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from _found(list(cluster(held, similar).items())).to_batches()
+
+        for b in batches:
+            for leaf, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and (leaf != of or len(held) >= run):
+                    yield from flush()
+                    held = []
+                of = leaf
+                held.append(line)
+        if held:
+            yield from flush()
+
+    def onward(state: DataFrame, step: DataFrame) -> DataFrame:
+        step = step.select(F.col("line").alias("at"), F.col("template").alias("to"))
+        return state.join(step, "at", "left").select("line", F.coalesce("to", "at").alias("at"))
+
+    items = _hashed(items)
+    state, first = scratch.cut(items.select(F.col("at").alias("line"), "at"), "state"), 0
+    while True:
+        sizes = items.groupBy("leaf").agg(F.count("*").alias("n"), F.first(F.size(F.split("line", " "))).alias("width"))
+        large = scratch.cut(sizes.where((F.col("n") > run) & (F.col("width") - depth > first)), "large")
+        if not large.count():
+            break
+        tokens, at = F.split("line", " "), depth + first
+        turned = F.concat_ws(" ", F.slice(tokens, at + 1, F.size(tokens)), F.slice(tokens, 1, at))
+        mine = items.join(large.select("leaf"), "leaf", "left_semi")
+        step = scratch.cut(mine.select("leaf", "line", turned.alias("turned"))
+                           .repartitionByRange(shards, "leaf", "turned").sortWithinPartitions("leaf", "turned")
+                           .select("leaf", "line").mapInArrow(generalise, _FOUND), "step")
+        state = scratch.cut(onward(state, step), "state")
+        names = step.select(F.col("line").alias("at"), "template", "text")
+        items = scratch.cut(items.join(names, "at", "left").select(
+            "leaf", F.coalesce("template", "at").alias("at"), F.coalesce("text", "line").alias("line")).distinct(), "items")
+        first += 1
+    small = sizes.where(F.col("n") <= run).select("leaf")
+    last = scratch.cut(whole(items.join(small, "leaf", "left_semi").select("leaf", "line")), "step")
+    state = onward(state, last)
+    return state.where("line <> at").select("line", F.col("at").alias("template"))
+
+
+def _hashed(items: DataFrame) -> DataFrame:
+    """``items`` with the hash of each line as ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([_hash(x) for x in b.column(1).to_pylist()], pa.int64()), b.column(1)],
+                ["leaf", "at", "line"])
+
+    return scratch.cut(items.select("leaf", "line").mapInArrow(run, "leaf long, at long, line string"), "items")
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
                          depth: int = DEPTH, similar: float = SIMILAR, run: int = RUN) -> DataFrame:
     """The rows of ``docs`` with all their columns, the text without the lines
@@ -116,40 +193,41 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         "parsed")
     leaves = scratch.cut(lines.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
                          .where("n > 1"), "leaves")
-    wanted = lines.join(leaves, "leaf").select(
-        "block", "line", "leaf", F.ceil(F.col("n") / run).cast("long").alias("runs")).distinct()
+    wanted = lines.join(leaves, "leaf").select("block", "line", "leaf", (F.col("n") > run).alias("hot")).distinct()
 
     def texts(block: int, table: pa.Table, right: pa.Table) -> pa.Table:
-        want = {x: (leaf, runs) for x, leaf, runs in
-                zip(*(right.column(c).to_pylist() for c in ("line", "leaf", "runs")))}
+        want = {x: (leaf, hot) for x, leaf, hot in
+                zip(*(right.column(c).to_pylist() for c in ("line", "leaf", "hot")))}
         out = []
         for line in {masked(x) for t in table.column(text_at).to_pylist() for x in _lines(t)} if want else ():
             if (h := _hash(line)) in want:
-                leaf, runs = want[h]
-                out.append((leaf, h % runs, line))
+                leaf, hot = want[h]
+                out.append((leaf, hot, line))
         columns = list(zip(*out)) or [[], [], []]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                         pa.array(columns[2], pa.string())], ["leaf", "run", "line"])
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()),
+                         pa.array(columns[2], pa.string())], ["leaf", "hot", "line"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = leaves.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, most = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     shards = max(parts, -(-total // (4 * run)))
 
     def generalise(table: pa.Table) -> pa.Table:
-        groups: dict[tuple, list[str]] = {}
-        for leaf, r, line in zip(*(table.column(c).to_pylist() for c in ("leaf", "run", "line"))):
-            groups.setdefault((leaf, r), []).append(line)
-        out = []
-        for group in groups.values():
-            for line, template in cluster(group, similar).items():
-                if _constant(template.split(" ")):
-                    out.append((_hash(line), _hash(template)))
-        columns = list(zip(*out)) or [[], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["line", "template"])
-
-    found = (bl.bring(blocks, wanted, texts, "leaf long, run long, line string")
-             .withColumn("shard", F.pmod(F.xxhash64("leaf", "run"), F.lit(shards)))
-             .groupBy("shard").applyInArrow(generalise, "line long, template long"))
+        groups: dict[int, list[str]] = {}
+        for leaf, line in zip(*(table.column(c).to_pylist() for c in ("leaf", "line"))):
+            groups.setdefault(leaf, []).append(line)
+        return _found([x for group in groups.values() for x in cluster(group, similar).items()])
+
+    def whole(items: DataFrame) -> DataFrame:
+        """line, template, text of the leaves, each in one run."""
+        return (items.withColumn("shard", F.pmod(F.xxhash64("leaf"), F.lit(shards)))
+                .groupBy("shard").applyInArrow(generalise, _FOUND))
+
+    texts_of = bl.bring(blocks, wanted, texts, "leaf long, hot boolean, line string")
+    if most > run:
+        texts_of = scratch.cut(texts_of, "texts")
+    found = whole(texts_of.where("NOT hot")).select("line", "template")
+    if most > run:
+        found = found.unionAll(_rounds(texts_of.where("hot").select("leaf", "line").distinct(), whole, depth, similar, run, shards))
     templates = scratch.cut(found, "templates")
     known = scratch.cut(lines.select("block", "doc", "line").join(templates, "line", "left").select(
         "block", "doc", "line", F.coalesce("template", "line").alias("template")), "known")

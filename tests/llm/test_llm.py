@@ -292,6 +292,24 @@ def test_line_templates(spark, empty):
     assert line_templates.drop_recurring_lines(empty).count() == 0
 
 
+def test_a_large_leaf_keeps_its_templates(spark):
+    """Lines that differ in words, scattered over a leaf of many runs."""
+    pick = random.Random(6)
+    word = lambda: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = []
+    for _ in range(12):
+        rows += [f"at this moment {word()} left room four quietly {word()}",
+                 f"at this moment someone {word()} saw a {word()} car",
+                 f"at this moment {word()} the cat {word()} was here"]
+    rows += ["at this moment " + " ".join(word() for _ in range(6)) for _ in range(200)]
+    pick.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {run: {r.doc_id: (r.n_dropped, r.text) for r in line_templates.drop_recurring_lines(docs, run=run).collect()}
+           for run in (4096, 16)}
+    assert sum(n for n, _ in got[4096].values()) == 36
+    assert got[16] == got[4096]
+
+
 def test_templates_generalise_what_varies():
     found = line_templates.cluster(["disk sda is full now", "disk sdb is full now", "a b c d e"], 0.6)
     assert set(found.values()) == {"disk <*> is full now"} and len(found) == 2
