@@ -1,10 +1,13 @@
 """Lexical retrieval packing of documents into fixed windows.
 
 Documents are tokenised; whole windows of a long document are sequences of
-their own, and what is left of each document goes to a shard by a hash of its
-row. A shard holds a bounded number of tokens and builds a BM25 inverted index
-over its rests, with document frequencies and lengths taken over all rests of
-the corpus. A seed's query returns the unused neighbours, best first, which
+their own, and what is left of each document goes to a shard by its content: the
+rests are put in the order of their heaviest terms (the terms themselves in a
+fixed random order, as in min-hashing) and cut into shards, so that rests which
+share heavy terms tend to lie in one. A shard holds a bounded number of tokens
+and builds a BM25 inverted index over its rests, with document frequencies and
+lengths taken over all rests of the
+corpus. A seed's query returns the unused neighbours, best first, which
 fill its window; the neighbour that does not fit is cut and its rest becomes
 the next seed. Only a shard's last window can be left with room.
 """
@@ -25,6 +28,8 @@ from bandwise.llm.bpe import encode_text, tokenizer_memo, worker_memo
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
+HEAVY, ORDERED = 8, 4
+SPREAD = 2654435761  # multiplicative hashing
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _OWN_SEQUENCE = 1 << 62  # sequence ids of whole windows; shards count below
 
@@ -73,15 +78,39 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     shards = max(1, -(-tokens // shard_tokens))
     share = spark_broadcast(docs, (idf, tokens / n))
 
-    def fill(rows: pa.Table) -> pa.Table:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, mean = share.value
-        return _fill_windows(rows.sort_by("uid"), weights, mean, window)
-
-    packed = (rests.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-              .groupBy("shard").applyInArrow(fill, _PIECE))
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in (*_ORDER, "uid")])
+        # Ranges are equal in rows; one with many tokens is cut once more.
+        held = np.cumsum(rows.column("length").to_numpy())
+        runs = max(1, -(-int(held[-1]) // (2 * shard_tokens)))
+        ends = np.unique([0, *np.searchsorted(held, held[-1] * np.arange(1, runs) / runs), rows.num_rows])
+        for i, (at, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            first = (TaskContext.get().partitionId() << 10 | i) << 24
+            yield from _fill_windows(rows.slice(at, end - at).sort_by("uid"), weights, mean, window, first).to_batches()
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, mean = share.value
+        for b in batches:
+            order = [_heavy_terms(np.frombuffer(x, "<u4"), weights, mean, n) for x in b.column(5).to_pylist()]
+            columns = np.array(order, np.int64).reshape(-1, ORDERED).T
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, columns)], [*b.schema.names, *_ORDER])
+
+    rests = rests.select("doc_id", "start", "length", "doc_tokens", "uid", "ids")
+    if shards > 1:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rests.schema)
+        rests = scratch.cut(rests.mapInArrow(heavy, kinds + "".join(f", {c} long" for c in _ORDER)), "rests")
+    else:
+        rests = rests.withColumns({c: F.lit(0).cast("long") for c in _ORDER})
+    # The row's number in the end, so that equal rests can be cut anywhere.
+    packed = rests.repartitionByRange(shards, *_ORDER, "uid").mapInArrow(fill, _PIECE)
     return whole.unionAll(packed)
 
 
+_ORDER = [f"heavy{i}" for i in range(ORDERED)]
 _CUT_NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "uid", "ids"]
 _CUT_TYPES = [pa.int64()] * 6 + [pa.binary()]
 
@@ -113,7 +142,22 @@ def _idf(rests: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _fill_windows(rows: pa.Table, idf: np.ndarray, mean: float, window: int) -> pa.Table:
+def _heavy_terms(ids: np.ndarray, idf: np.ndarray, mean: float, n: int) -> list[int]:
+    """What a rest is ordered by: its HEAVY terms of most BM25 weight that another
+    rest has too, by their hash, the first ORDERED of them (-1 where there are fewer)."""
+    t, tf = np.unique(ids, return_counts=True)
+    w = idf[t]
+    # Terms of a single rest weigh log((n - 0.5) / 1.5), those of two log((n - 1.5) / 2.5).
+    known = (w > 0) & (w < np.log((n - 1) / 2))
+    t, tf, w = t[known], tf[known], w[known]
+    if len(t) > HEAVY:
+        w = w * tf / (tf + K1 * (1 - B + B * len(ids) / mean))
+        t = t[np.argsort(-w, kind="stable")[:HEAVY]]
+    places = np.sort(t.astype(np.uint64) * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF))[:ORDERED].tolist()
+    return places + [-1] * (ORDERED - len(places))
+
+
+def _fill_windows(rows: pa.Table, idf: np.ndarray, mean: float, window: int, first: int) -> pa.Table:
     ids = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
     n = len(ids)
     terms, owner, weight, queries = [], [], [], []
@@ -134,7 +178,7 @@ def _fill_windows(rows: pa.Table, idf: np.ndarray, mean: float, window: int) ->
     doc_ids, base, doc_tokens = (rows.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
     used = np.zeros(n, np.int64)  # ids of each rest that lie in a piece
     size = np.array([len(x) for x in ids])
-    out, sequence, seed = [], rows.column("shard")[0].as_py() << 24, 0
+    out, sequence, seed = [], first, 0
     while True:
         while seed < n and used[seed] == size[seed]:
             seed += 1

@@ -101,6 +101,20 @@ def test_neighbours_of_a_seed_come_first(spark):
     assert {i % 4 for i in first} <= {0, 2}
 
 
+def test_neighbours_meet_among_many_shards(spark):
+    pick = random.Random(8)
+    word = lambda: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    common, topics = [word() for _ in range(60)], [[word() for _ in range(6)] for _ in range(40)]
+    texts = [" ".join(pick.sample(topics[i % 40] * 3 + pick.choices(common, k=6), 24)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    windows = collections.defaultdict(list)
+    for p in packing.pack(docs, JSON, window=256, shard_tokens=1500).collect():
+        windows[p.sequence_id].append(p.doc_id % 40)
+    assert len({s >> 34 for s in windows}) > 10
+    pairs = [a == b for w in windows.values() for a, b in itertools.combinations(w, 2)]
+    assert sum(pairs) > 0.5 * len(pairs)
+
+
 @pytest.mark.parametrize("window", [5, 20])
 def test_passages(docs, rows, empty, window):
     got = substring.remove_passages(docs.select("doc_id", "text").where("doc_id <> 3 OR true"), window=window)
