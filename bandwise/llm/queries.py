@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import (ann, bpe, exact_dedup, line_templates, minhash, packing, quality, scratch, substring,
-                          token_counts, token_store)
+from bandwise.llm import (ann, bpe, exact_dedup, line_quality, line_templates, minhash, packing, quality, scratch,
+                          substring, token_counts, token_store)
 
 
 def tokenizer_file(name: str) -> str:
@@ -68,8 +68,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(token_store.read(spark, folder))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(_docs(spark, sf_dir)).drop("text")
+
+
 _ALL = (op1_packing, op2_exact_dedup, op3_line_dedup, op4_token_counts, op5_quality_classifier, op6_substring_dedup,
-        op7_minhash_near_dedup, op8_bpe, op9_nearest_neighbours, op10_token_output)
+        op7_minhash_near_dedup, op8_bpe, op9_nearest_neighbours, op10_token_output, op13_quality_rules)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -111,4 +115,33 @@ ORACLE_SQL = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_quality_rules": r"""
+        WITH d AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, source, COALESCE(text, '') AS text FROM documents),
+        w AS (SELECT row, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+        runs AS (SELECT row, i, ARRAY_TO_STRING(w[i : i + 7], ' ') AS run FROM w, LATERAL (SELECT UNNEST(RANGE(1, LEN(w) - 6)) AS i)),
+        again AS (SELECT row, i FROM runs QUALIFY COUNT(*) OVER (PARTITION BY row, run) > 1),
+        repeated AS (SELECT row, COUNT(DISTINCT i + j) AS n FROM again, (SELECT UNNEST(RANGE(0, 8)) AS j) GROUP BY row),
+        raw AS (SELECT row, doc_id, source, UNNEST(STRING_SPLIT(text, chr(10))) AS line FROM d),
+        dup AS (SELECT row, COUNT(*) - COUNT(DISTINCT line) AS n FROM raw WHERE REGEXP_MATCHES(line, '[^\x20\x09-\x0D]') GROUP BY row),
+        norm AS (SELECT row, doc_id, source, TRIM(REGEXP_REPLACE(REGEXP_REPLACE(
+                     TRANSLATE(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'),
+                     '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS line FROM raw),
+        hosts AS (SELECT source, COUNT(DISTINCT COALESCE(CAST(doc_id AS VARCHAR), '-')) AS host_docs FROM d GROUP BY source),
+        seen AS (SELECT source, line, COUNT(DISTINCT COALESCE(CAST(doc_id AS VARCHAR), '-')) AS docs FROM norm WHERE line <> ''
+                 GROUP BY source, line),
+        above AS (SELECT seen.source, line FROM seen JOIN hosts ON seen.source IS NOT DISTINCT FROM hosts.source
+                  WHERE docs > 10 AND docs * 1000 > host_docs),
+        gone AS (SELECT row, SUM(LEN(STRING_SPLIT(line, ' '))) AS n FROM norm
+                 WHERE EXISTS (SELECT 1 FROM above WHERE above.line = norm.line AND above.source IS NOT DISTINCT FROM norm.source)
+                 GROUP BY row),
+        f AS (SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words, CAST(LENGTH(ARRAY_TO_STRING(w, '')) AS BIGINT) AS word_chars,
+                     CAST(LENGTH(text) - LENGTH(REGEXP_REPLACE(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(COALESCE(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(COALESCE(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+                     CAST(COALESCE(gone.n, 0) AS BIGINT) AS n_line_words
+              FROM d JOIN w USING (row) LEFT JOIN dup USING (row) LEFT JOIN repeated USING (row) LEFT JOIN gone USING (row))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_line_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+                   AND NOT (100 * n_line_words > 50 * n_words OR n_words - n_line_words < 20) AS kept
+        FROM f""",
 }
