@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bandwise.functions.money import money_round
 from bandwise.functions.text import is_blank
 from bandwise.operators.cleaning import CATEGORY_CORRECTIONS, UNKNOWN_TIER
-from bandwise.operators.quantile import histogram, percentile_of_histogram
+from bandwise.operators.quantile import percentile_with
 
 
 def _long(df: DataFrame, source: str, checks: Mapping[str, Column]) -> DataFrame:
@@ -27,21 +27,18 @@ def quality_audit(transactions: DataFrame, consumers: DataFrame, products: DataF
                   unknown_tier: str = UNKNOWN_TIER) -> DataFrame:
     """The defect counts reported before cleaning, one row per check.
 
-    Every table is read once for its counts; the price percentile is exact
-    (interpolated) and computed without collecting prices in one task.
+    Every table is read once for its counts, the order lines once more for the
+    exact (interpolated) price percentile (``operators.quantile``).
     """
     price = F.col("price")
-    # every price check reads the (value, count) histogram of the prices, so
-    # the order lines are reduced once and the checks run on distinct values
-    hist = histogram(transactions, "price")
-    tx = _long(hist, "transactions", {
-        "negative_prices": F.coalesce(F.sum(F.when(F.col("v") < 0, F.col("c"))), F.lit(0)),
-        "max_price": F.max("v"),
-    })
-    p99 = percentile_of_histogram(hist, q).select(
+    name = f"p{round(q * 100):d}_price"
+    tx = percentile_with(transactions, "price", q, {"negative": F.count_if(price < 0), "highest": F.max(price)})
+    tx = tx.select(
         F.lit("transactions").alias("source"),
-        F.lit(f"p{round(q * 100):d}_price").alias("check_name"),
-        money_round("value").alias("value"))
+        F.expr(f"stack(3, 'negative_prices', CAST(negative AS DOUBLE), 'max_price', CAST(highest AS DOUBLE), "
+               f"'{name}', value) AS (check_name, value)")).select(
+        "source", "check_name",
+        F.when(F.col("check_name") == name, money_round("value")).otherwise(F.col("value")).alias("value"))
     cons = _long(consumers, "consumer_insights", {"blank_personas": F.count_if(is_blank("persona"))})
     prods = _long(products, "product_metadata", {
         "category_typos": F.count_if(F.trim("category").isin(*corrections)),
@@ -53,7 +50,7 @@ def quality_audit(transactions: DataFrame, consumers: DataFrame, products: DataF
     comp = _long(competitors, "competitor_pricing", {
         "null_competitor_prices": F.count_if(price.isNull()),
     })
-    return tx.unionByName(p99).unionByName(cons).unionByName(prods).unionByName(geo).unionByName(comp)
+    return tx.unionByName(cons).unionByName(prods).unionByName(geo).unionByName(comp)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

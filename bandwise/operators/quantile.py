@@ -1,80 +1,65 @@
-"""Exact percentile without gathering the values in one task.
+"""Exact percentile by rank bracketing.
 
-Spark's exact ``percentile`` merges every distinct value of a group in one
-task. Here the values are first reduced to a histogram (value, count) --
-partial aggregation, so a value held by a third of the rows is one row per
-task -- then split into ``bins``² ordered ranges, cut at approximate
-quantiles of the distinct values and again within each first-level range
-(so each range has about 1/bins² of the histogram). Range totals (at most
-``bins``² rows) give each range its rank offset; a window per
-range accumulates counts in value order; the rows covering the two ranks
-around ``q * (n - 1)`` are read off and interpolated linearly (the
-``quantile_cont`` definition). The approximate cut points only decide how the
-work is split; the answer is exact whatever they are.
+One pass takes the row count and two approximate quantiles, one safely below and
+one safely above the wanted rank (the sketch's rank error is at most 1 / accuracy
+of the rows, and the bracket leaves three times that on both sides; of fewer than
+2 * accuracy rows, where two ranks are more than that, it is the whole range). A second pass
+counts the rows below the bracket -- one row per task, they share a group -- and
+groups the rows inside it by value, so a value that a third of the rows hold is
+one row per task too. Only the distinct values inside, about 6 / accuracy of the
+distinct ones, are sorted; running counts then name the values at the two ranks
+around ``q * (n - 1)``, which are interpolated linearly (the ``quantile_cont``
+definition). The sketch only decides how much is sorted: the counts prove that the
+bracket holds both ranks, and the query fails rather than answer without them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def histogram(df: DataFrame, col: str) -> DataFrame:
-    """(v, c): each distinct non-NULL value of ``col`` and how often it occurs.
-    Partial aggregation first, so a hot value costs one row per task."""
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    return values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-
-
-def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 64,
-                     accuracy: int = 10_000) -> DataFrame:
-    """One-row DataFrame with column ``value``: the interpolated q-quantile of
-    the non-NULL values of ``col`` (NULL when there are none)."""
-    return percentile_of_histogram(histogram(df, col), q, bins, accuracy)
+from collections.abc import Mapping
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def _rank_in(edges_col: str, bins: int):
-    """Number of the ``bins - 1`` ascending cut points in ``edges_col`` that
-    are <= v (a sum of comparisons: no lambda, stays in generated code)."""
-    b = F.lit(0)
-    for i in range(1, bins):
-        b = b + F.when(F.element_at(edges_col, i) <= F.col("v"), 1).otherwise(0)
-    return b
+ACCURACY = 10_000
 
 
-def percentile_of_histogram(hist: DataFrame, q: float, bins: int = 64,
-                            accuracy: int = 10_000) -> DataFrame:
-    """``exact_percentile`` over a (v, c) histogram built by ``histogram``."""
+def percentile_with(df: DataFrame, col: str, q: float, extra: Mapping[str, Column] | None = None,
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """One-row DataFrame: ``value``, the interpolated q-quantile of the non-NULL
+    values of ``col`` (NULL when there are none), and the ``extra`` aggregates
+    over all rows of ``df``, computed in the bracketing pass."""
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be within [0, 1]")
-    # one pass over the histogram gives the count and the cut points: at
-    # approximate quantiles of the distinct values, so every range holds about
-    # the same number of histogram rows (= window rows)
-    cuts = [i / bins for i in range(1, bins)]
-    stats = hist.agg(F.sum("c").alias("n"), F.percentile_approx("v", cuts, accuracy).alias("edges"))
-    n, edges = stats.select("n").scalar(), stats.select("edges").scalar()
-    # level 1: range = number of cut points <= v (they ascend, so ranges are
-    # ordered); level 2: the same within each level-1 range, from that
-    # range's own cut points (one row per range, so the join is a broadcast
-    # of at most ``bins`` rows). bins**2 ordered ranges in all, each holding
-    # about 1/bins**2 of the distinct values.
-    first = hist.withColumn("_e", edges).select("v", "c", _rank_in("_e", bins).alias("b1"))
-    cuts2 = first.groupBy("b1").agg(F.percentile_approx("v", cuts, accuracy).alias("_e2"))
-    binned = first.join(F.broadcast(cuts2), "b1").select(
-        "v", "c", (F.col("b1") * bins + _rank_in("_e2", bins)).alias("b"))
-    totals = binned.groupBy("b").agg(F.sum("c").alias("bc"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("b", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))
-    upto = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (binned.join(F.broadcast(offsets), "b")
-              .withColumn("upto", F.col("off") + F.sum("c").over(upto)))
-    pos = (n - F.lit(1)).cast("double") * F.lit(float(q))
+    extra = dict(extra or {})
+    v = F.col(col).cast("double")
+    ends = F.percentile_approx(v, [max(0.0, q - 3 / accuracy), min(1.0, q + 3 / accuracy)], accuracy)
+    few = F.count(v) < 2 * accuracy
+    # one struct, one scalar subquery: the bracketing pass runs once however
+    # often its figures are used
+    pass1 = df.agg(F.struct(F.count(v).alias("_n"), F.when(few, F.min(v)).otherwise(ends[0]).alias("_lo"),
+                            F.when(few, F.max(v)).otherwise(ends[1]).alias("_hi"),
+                            *[c.alias(name) for name, c in extra.items()]).alias("s")).scalar()
+    lo, hi = pass1["_lo"], pass1["_hi"]
+    upper = df.select(v.alias("v")).filter(F.col("v") <= hi)
+    inside = upper.groupBy(F.when(F.col("v") >= lo, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = inside.withColumn("upto", upto)
+    pos = (pass1["_n"] - F.lit(1)).cast("double") * F.lit(float(q))
     r0, r1 = F.floor(pos), F.ceil(pos)
 
-    def at(rank):
-        hit = (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
+    def at(rank: Column) -> Column:
+        hit = F.col("v").isNotNull() & (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
         return F.max(F.when(hit, F.col("v")))
 
     picked = ranked.agg(at(r0).alias("v0"), at(r1).alias("v1"))
     value = F.col("v0") + (F.col("v1") - F.col("v0")) * (pos - r0)
-    return picked.select(value.alias("value"))
+    missed = F.raise_error(F.lit("the bracket does not hold the rank"))
+    return picked.select(
+        F.when((pass1["_n"] > 0) & value.isNull(), missed.cast("double")).otherwise(value).alias("value"),
+        *[pass1[name].alias(name) for name in extra])
+
+
+def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
+    """One-row DataFrame with column ``value``: the interpolated q-quantile of
+    the non-NULL values of ``col`` (NULL when there are none)."""
+    return percentile_with(df, col, q, accuracy=accuracy)

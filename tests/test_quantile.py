@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
-from bandwise.operators.quantile import exact_percentile
+from pyspark.sql import functions as F
+
+from bandwise.operators.quantile import exact_percentile, percentile_with
 
 
-def _run(spark, values, q, bins=8):
+def _run(spark, values, q, accuracy=100):
     df = spark.createDataFrame([(v,) for v in values], "price double")
-    return exact_percentile(df, "price", q, bins=bins).first()["value"]
+    return exact_percentile(df, "price", q, accuracy=accuracy).first()["value"]
 
 
 @pytest.mark.parametrize("q", [0.0, 0.01, 0.5, 0.9, 0.99, 1.0])
@@ -36,10 +40,34 @@ def test_single_value(spark):
     assert _run(spark, [7.5], 0.99) == 7.5
 
 
-def test_two_level_ranges_with_few_bins(spark):
+@pytest.mark.parametrize("accuracy", [5, 50, 10_000])
+def test_narrow_and_wide_brackets(spark, accuracy):
     rng = np.random.default_rng(11)
     values = [float(v) for v in np.round(rng.lognormal(3, 1, 4000), 3)]
-    df = spark.createDataFrame([(v,) for v in values], "price double")
+    df = spark.createDataFrame([(v,) for v in values], "price double").repartition(16)
     for q in (0.0, 0.37, 0.99, 1.0):
-        got = exact_percentile(df, "price", q, bins=3).first()["value"]
+        got = exact_percentile(df, "price", q, accuracy=accuracy).first()["value"]
         assert got == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [2, 3, 9, 11, 12, 101, 399, 400, 1000])
+def test_few_rows_and_every_remainder(spark, n):
+    values = [float(v * v) for v in range(n)]
+    for q in (0.01, 0.99):
+        assert _run(spark, values, q, accuracy=200) == pytest.approx(float(np.percentile(values, q * 100)))
+
+
+def test_sorted_input_and_few_distinct_values(spark):
+    values = [float(v // 500) for v in range(5000)]
+    for q in (0.1, 0.5, 0.95):
+        assert _run(spark, values, q) == pytest.approx(float(np.percentile(values, q * 100)))
+
+
+def test_only_the_bracket_is_sorted(spark):
+    """Rows below the bracket are one group, those above are filtered away."""
+    df = spark.range(100_000).selectExpr("CAST(id AS DOUBLE) AS price").repartition(4)
+    out = percentile_with(df, "price", 0.99, {"n": F.count(F.lit(1))})
+    assert [tuple(r) for r in out.collect()] == [(pytest.approx(98999.01), 100_000)]
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(re.findall(r"subquery#(\d+)", final))) == 1, "one bracketing pass, reused"
+    assert sum(1 for line in final.splitlines() if " Window [" in line) == 1
