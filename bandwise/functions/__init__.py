@@ -11,7 +11,6 @@ from bandwise.functions.buckets import (
     Buckets,
 )
 from bandwise.functions.money import (
-    MONEY,
     cent_sum,
     cents,
     money,
@@ -20,13 +19,11 @@ from bandwise.functions.money import (
     mean,
     money_round,
     money_sum,
+    from_parts,
     pct,
-    per_row,
+    price_parts,
     raw_pct,
     rows,
-    to_money,
-    unrounded_per_row,
-    whole_sum,
 )
 from bandwise.functions.text import (
     NA_TOKENS,
@@ -40,7 +37,7 @@ from bandwise.functions.text import (
 __all__ = [
     "Buckets", "PRICE_EDGES", "PRICE_BUCKETS", "PRICE_WALL_BUCKETS", "NOTEBOOK_BUCKETS",
     "INCOME_TIERS", "LAUNCH_BANDS", "NOTEBOOK_LAUNCH_BANDS",
-    "MONEY", "money", "cents", "cent_sum", "money_round", "to_money", "money_sum", "mean", "low", "high", "rows",
-    "per_row", "unrounded_per_row", "whole_sum", "pct", "raw_pct",
+    "money", "cents", "cent_sum", "money_round", "money_sum", "mean", "low", "high", "rows",
+    "price_parts", "from_parts", "pct", "raw_pct",
     "NA_TOKENS", "na_to_null", "is_blank", "blank_default", "has_tag", "matched_tags",
 ]

@@ -12,9 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
 _SNAP = "decimal(38,10)"
 # Below this magnitude x * 1e10 is an integer-valued double (< 2**53), so the
 # ten-decimal snap and the half-cent test are exact in double/long arithmetic.
@@ -61,9 +59,21 @@ def money_sql(x: str) -> Column:
     return F.expr(f"CAST(CASE WHEN abs({x}) < 9e5 THEN {fast} ELSE {exact} END AS BIGINT) / 100.0D")
 
 
-def to_money(c: Column | str) -> Column:
-    """Round a double amount to cents and keep it as an exact decimal."""
-    return F.round(_col(c).cast(_SNAP), 2).cast(MONEY)
+# Prices are summed as whole cents and a rest in units of 1e-8, both longs, so a
+# sum does not depend on the order of its rows. 9 * 10**12 rests fit a long.
+REST_UNITS = 1_000_000
+
+
+def price_parts(c: Column | str) -> tuple[Column, Column]:
+    """(whole cents, rest in 1e-8) of an amount snapped to eight decimals."""
+    k = F.rint(_col(c) * F.lit(1e8))
+    whole = F.floor(k / F.lit(float(REST_UNITS)))
+    return whole.cast("long"), (k - whole * F.lit(float(REST_UNITS))).cast("long")
+
+
+def from_parts(whole: Column | str, rest: Column | str) -> Column:
+    """The amount as a double, from (sums of) its two parts."""
+    return _col(whole) / F.lit(100.0) + _col(rest) / F.lit(1e8)
 
 
 def cent_sum(c: Column | str) -> Column:
@@ -97,21 +107,6 @@ def rows() -> Column:
     return F.count(F.lit(1))
 
 
-def per_row(c: Column | str) -> Column:
-    """ROUND(SUM(x) / COUNT(*), 2) with the sum taken exactly."""
-    return money_round(money_sum(c) / F.count(F.lit(1)))
-
-
-def unrounded_per_row(c: Column | str) -> Column:
-    """SUM(x) / COUNT(*) as a double, for ranking on the exact ratio."""
-    return money_sum(c) / F.count(F.lit(1))
-
-
-def whole_sum(c: Column | str) -> Column:
-    """ROUND(SUM(integer), 0): a whole number carried as a double."""
-    return F.sum(_col(c)).cast("double")
-
-
 def pct(part: Column | str, whole: Column | str) -> Column:
     """ROUND(100 * part / whole, 2) computed in double precision; NULL when
     ``whole`` is 0 (SQL engines without ANSI errors return NULL there)."""

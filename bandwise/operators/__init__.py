@@ -1,6 +1,6 @@
 """DataFrame -> DataFrame building blocks."""
 
-from bandwise.operators.aggregates import lag_change, segment_summary, share_of_total, threshold_split
+from bandwise.operators.aggregates import lag_change, share_of_total
 from bandwise.operators.audit import duplicate_keys, join_key_audit, quality_audit
 from bandwise.operators.baseline import lift_vs_baseline, with_baseline
 from bandwise.operators.benchmark import benchmark_gap, competitor_range
@@ -20,18 +20,21 @@ from bandwise.operators.tags import (
     CLAIM_TAGS,
     PREMIUM_CLAIM_TAGS,
     claim_map,
-    explode_with_total,
+    explode_weighted,
+    finish_tags,
+    merge_tag_partials,
     tag_explode,
-    tag_lists,
+    tag_partials,
+    tag_weights,
 )
 
 __all__ = [
-    "segment_summary", "share_of_total", "lag_change", "threshold_split",
+    "share_of_total", "lag_change",
     "quality_audit", "duplicate_keys", "join_key_audit",
     "with_baseline", "lift_vs_baseline", "benchmark_gap", "competitor_range",
     "clean_transactions", "clean_consumers", "clean_products", "clean_geography",
     "competitor_summary", "known_tier", "bounded_broadcast", "measure",
     "build_master", "keep_fanout", "row_count", "ALL_PARTS", "exact_percentile", "best_band",
-    "CLAIM_TAGS", "PREMIUM_CLAIM_TAGS", "claim_map", "tag_explode", "tag_lists",
-    "explode_with_total",
+    "CLAIM_TAGS", "PREMIUM_CLAIM_TAGS", "claim_map", "tag_explode", "tag_weights",
+    "explode_weighted", "tag_partials", "merge_tag_partials", "finish_tags",
 ]

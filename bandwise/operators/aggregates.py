@@ -1,4 +1,4 @@
-"""Grouped summaries, shares of a total, adjacent-bucket change, threshold split.
+"""Shares of a total, adjacent-bucket change, threshold column names.
 
 All of these aggregate first (partial aggregation map-side, so a hot group
 costs one row per task) and only then apply windows, which therefore run on
@@ -7,30 +7,12 @@ one row per group, never on raw rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwise.functions.money import money_round, pct, raw_pct, rows
-
-
-def segment_summary(df: DataFrame, keys: Sequence[str | Column], measures: Mapping[str, Column],
-                    where: Column | None = None, order: Sequence[Column] | None = None,
-                    limit: int | None = None) -> DataFrame:
-    """``SELECT keys, measures FROM df WHERE .. GROUP BY keys ORDER BY .. LIMIT ..``.
-
-    An ORDER BY + LIMIT becomes a top-k (TakeOrderedAndProject): each task
-    keeps its best ``limit`` rows, so no full sort happens.
-    """
-    if where is not None:
-        df = df.filter(where)
-    out = df.groupBy(*keys).agg(*[c.alias(name) for name, c in measures.items()])
-    if order:
-        out = out.orderBy(*order)
-    if limit is not None:
-        out = out.limit(limit)
-    return out
+from bandwise.functions.money import money_round, pct, raw_pct
 
 
 def share_of_total(agg: DataFrame, count_col: str, out: str,
@@ -76,19 +58,3 @@ def lag_change(agg: DataFrame, order_col: str, value_col: str, change_col: str =
 def threshold_names(threshold: float) -> tuple[str, str, str]:
     t = f"{threshold:g}"
     return f"orders_under_{t}", f"orders_{t}_plus", f"pct_at_{t}_or_above"
-
-
-def threshold_split(df: DataFrame, keys: Sequence[str], col: str, threshold: float,
-                    where: Column | None = None) -> DataFrame:
-    """Per group: rows below / at-or-above ``threshold``, total, and the share
-    at or above it."""
-    under, plus, share = threshold_names(threshold)
-    value = F.col(col)
-    if where is not None:
-        df = df.filter(where)
-    out = df.groupBy(*keys).agg(
-        F.count_if(value < threshold).alias(under),
-        F.count_if(value >= threshold).alias(plus),
-        rows().alias("total_orders"),
-    )
-    return out.withColumn(share, pct(plus, "total_orders"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwise.functions.money import money_round
+from bandwise.functions.money import from_parts, money_round
 
 # The reference's verdict bounds and wording.
 UPPER, LOWER = 1.15, 0.90
@@ -15,21 +15,22 @@ FINDINGS_VERDICTS = ("worth the premium claim", "not pulling its weight", "about
 NOTEBOOK_VERDICTS = ("premium justified", "below market", "at market")
 
 
-def with_baseline(grouped: DataFrame, sum_col: str, count_col: str,
+def with_baseline(grouped: DataFrame, whole: str, rest: str, count_col: str,
                   total_row: Column | None = None, out: str = "_baseline") -> DataFrame:
     """Attach ROUND(overall mean, 2) to every grouped row.
 
-    Either one row holds the overall sum and count (``total_row`` picks it),
-    or the grouped rows together cover every input row (the NULL group
-    included) and the overall mean is their summed sums over summed counts.
+    Sums come in two whole parts (``functions.money.price_parts``). Either one
+    row holds the overall sum and count (``total_row`` picks it), or the grouped
+    rows together cover every input row (the NULL group included) and the overall
+    mean is their summed sums over summed counts.
     The input is read once; the window runs over the grouped rows only (one
     per tag or occasion), never over raw rows.
     """
     w = Window.partitionBy()
     if total_row is None:
-        overall = F.sum(sum_col).over(w) / F.sum(count_col).over(w)
+        overall = from_parts(F.sum(whole).over(w), F.sum(rest).over(w)) / F.sum(count_col).over(w)
     else:
-        overall = F.max(F.when(total_row, F.col(sum_col) / F.col(count_col))).over(w)
+        overall = F.max(F.when(total_row, from_parts(whole, rest) / F.col(count_col))).over(w)
     return grouped.withColumn(out, money_round(overall))
 
 

@@ -22,9 +22,9 @@ def competitor_range(summary: DataFrame) -> DataFrame:
 
     Empty input gives one row of NULLs."""
     return summary.agg(
-        mean("avg_price").alias("comp_avg"),
-        low("min_price").alias("comp_min"),
-        high("max_price").alias("comp_max"),
+        mean("avg_price").alias("mid"),
+        low("min_price").alias("lowest"),
+        high("max_price").alias("highest"),
     )
 
 
@@ -35,19 +35,19 @@ def benchmark_gap(ours: DataFrame, summary: DataFrame, key: str = "category",
     merged subquery), so no join with ``ours`` is needed. With no competitor
     data every comparison is NULL and the position is 'at market rate'."""
     rng = competitor_range(summary)
-    comp_avg, comp_min, comp_max = (rng.select(c).scalar() for c in ("comp_avg", "comp_min", "comp_max"))
+    mid, lowest, highest = (rng.select(c).scalar() for c in ("mid", "lowest", "highest"))
     ours_c = F.col(our_col)
     under, over, below, above, at = POSITIONS
-    where = (F.when(ours_c < comp_min, F.lit(under))
-             .when(ours_c > comp_max, F.lit(over))
-             .when(ours_c < comp_avg, F.lit(below))
-             .when(ours_c > comp_avg, F.lit(above))
+    where = (F.when(ours_c < lowest, F.lit(under))
+             .when(ours_c > highest, F.lit(over))
+             .when(ours_c < mid, F.lit(below))
+             .when(ours_c > mid, F.lit(above))
              .otherwise(F.lit(at)))
     return ours.select(
         key, our_col,
-        comp_avg.alias("competitor_avg"),
-        comp_min.alias("competitor_floor"),
-        comp_max.alias("competitor_ceiling"),
-        money_round(ours_c - comp_avg).alias("gap_vs_competitor"),
+        mid.alias("competitor_avg"),
+        lowest.alias("competitor_floor"),
+        highest.alias("competitor_ceiling"),
+        money_round(ours_c - mid).alias("gap_vs_competitor"),
         where.alias("where_we_sit"),
     )

@@ -7,7 +7,7 @@ import re
 from collections import OrderedDict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +29,9 @@ class Size:
         return 0 <= self.rows <= max_rows and self.bytes <= max_bytes
 
 
-def _size_row(df: DataFrame, name: str) -> DataFrame:
-    """One-row aggregate: (name, rows, bytes). The byte figure follows the row
-    layout of hashed relations -- a null bitmap and one 8-byte slot per
-    column, plus the UTF-8 bytes of strings."""
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row as hashed relations lay it out: a null bitmap and one 8-byte
+    slot per column, plus the UTF-8 bytes of strings and the elements of arrays."""
     width = F.lit(8 + 8 * len(df.columns))
     for f in df.schema:
         c = F.col(f"`{f.name}`")
@@ -40,17 +39,28 @@ def _size_row(df: DataFrame, name: str) -> DataFrame:
             width = width + F.coalesce(F.octet_length(c), F.lit(0))
         elif isinstance(f.dataType, T.ArrayType):
             # array header plus 8 bytes and the UTF-8 bytes of every element
-            elem = (lambda x: F.coalesce(F.octet_length(x), F.lit(0)) + 8) if isinstance(
-                f.dataType.elementType, T.StringType) else (lambda x: F.lit(8))
+            kind = f.dataType.elementType
+            if isinstance(kind, T.StructType):
+                texts = [g.name for g in kind if isinstance(g.dataType, T.StringType)]
+                fixed = 16 + 8 * len(kind)
+                elem = (lambda x: sum((F.coalesce(F.octet_length(x[t]), F.lit(0)) for t in texts), F.lit(fixed)))
+            else:
+                elem = (lambda x: F.coalesce(F.octet_length(x), F.lit(0)) + 8) if isinstance(
+                    kind, T.StringType) else (lambda x: F.lit(8))
             width = width + F.coalesce(
                 F.aggregate(c, F.lit(16), lambda acc, x: acc + elem(x)), F.lit(0))
+    return width
+
+
+def _size_row(df: DataFrame, name: str) -> DataFrame:
+    """One-row aggregate: (name, rows, bytes)."""
     return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"),
-                  F.sum(width.cast("long")).alias("b"))
+                  F.sum(row_width(df).cast("long")).alias("b"))
 
 
 # Size proofs already taken in this application, keyed by the plan's semantic
-# hash and the path, length and modification time of every file it reads, so a
-# file rewritten in place gives a new key. Relations without files are never
+# hash, the files it reads and the state of their folders, so a file rewritten in
+# place gives a new key. Relations without files are never
 # remembered. A hit is double-checked with sameSemantics.
 _PROOFS: OrderedDict[tuple, tuple[DataFrame, Size]] = OrderedDict()
 _PROOF_SLOTS = 256
@@ -61,11 +71,12 @@ def clear_size_proofs() -> None:
     _PROOFS.clear()
 
 
-def _proof_key(df: DataFrame, files: list[str], listing: dict[str, tuple]) -> tuple | None:
+def _proof_key(df: DataFrame, files: list[str], states: dict[str, tuple]) -> tuple | None:
     """None where nothing shows whether the data have changed."""
     if not files:
         return None
-    state = "\n".join(f"{f} {listing.get(_norm(f))}" for f in files)
+    folders = sorted({_folder(f) for f in files})
+    state = "\n".join([*files, *(f"{d} {states.get(d)}" for d in folders)])
     digest = hashlib.sha1(state.encode()).hexdigest()
     return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), digest)
 
@@ -73,65 +84,41 @@ def _proof_key(df: DataFrame, files: list[str], listing: dict[str, tuple]) -> tu
 _EMPTY_AUTHORITY = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):///")
 
 
-def _norm(path: str) -> str:
+def _folder(path: str) -> str:
     """``file:///x`` and ``file:/x`` name the same file."""
-    return _EMPTY_AUTHORITY.sub(r"\1:/", path)
+    return _EMPTY_AUTHORITY.sub(r"\1:/", path).rpartition("/")[0]
 
 
-def _listing(spark: SparkSession, files: list[str]) -> dict[str, tuple]:
-    """(length, modification time) by path, as the files are now: one
-    metadata-only listing (the binary-file source reads no content for it)."""
+def _states(spark: SparkSession, files: list[str]) -> dict[str, tuple]:
+    """Per folder, a digest of the path, length and modification time of the files,
+    as they are now: one metadata-only listing (the binary-file source reads no
+    content for it), one row per folder."""
     if not files:
         return {}
-    got = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime").collect()
-    return {_norm(r["path"]): (int(r["length"]), r["modificationTime"]) for r in got}
+    seen = spark.read.format("binaryFile").load(files).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.xxhash64("path", "length", "modificationTime").alias("h"))
+    got = seen.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h")).collect()
+    return {_EMPTY_AUTHORITY.sub(r"\1:/", r["folder"]): (r["n"], r["h"]) for r in got}
 
 
-def input_bytes_many(frames: dict[str, DataFrame], files: dict[str, list[str]] | None = None,
-                     listing: dict[str, tuple] | None = None) -> dict[str, int]:
-    """Bytes of the files each DataFrame reads (0 for data without files)."""
-    if not frames:
-        return {}
-    files = files or {name: sorted(df.inputFiles()) for name, df in frames.items()}
-    if listing is None:
-        spark = next(iter(frames.values())).sparkSession
-        listing = _listing(spark, sorted({f for name in frames for f in files[name]}))
-    return {name: sum(listing.get(_norm(f), (0,))[0] for f in files[name]) for name in frames}
-
-
-def measure_many(frames: dict[str, DataFrame], reuse: bool = True,
-                 skip_above_bytes: int | None = None,
-                 skippable: set[str] | None = None) -> dict[str, Size]:
+def measure_many(frames: dict[str, DataFrame], reuse: bool = True) -> dict[str, Size]:
     """Exact row counts and size estimates of several DataFrames in one job.
 
-    Each is a global aggregate (partial counts per task, one row per task
-    shuffled); the union of the one-row results is collected: as many rows
-    as there are inputs. Sizes proven earlier in the same application for the
-    same plan over the same files are reused instead of recomputed.
-
-    With ``skip_above_bytes``, a frame (among ``skippable``, default all)
-    whose input files alone exceed it is not scanned: compressed files take
-    no more room than the decoded rows, so it cannot fit; it is reported with
-    its file bytes and an unknown (negative) row count.
+    Each is a global aggregate over the columns it selects (partial counts per
+    task, one row per task shuffled); the union of the one-row results is
+    collected: as many rows as there are inputs. Sizes proven earlier in the same
+    application for the same plan over the same files are reused instead of
+    recomputed.
     """
-    if skippable is None:
-        skippable = set(frames)
     out: dict[str, Size] = {}
     todo: dict[str, tuple[DataFrame, tuple]] = {}
     files = {name: sorted(df.inputFiles()) for name, df in frames.items()}
-    listing = {}
+    states = {}
     if frames:
         spark = next(iter(frames.values())).sparkSession
-        listing = _listing(spark, sorted({f for fs in files.values() for f in fs}))
-    if skip_above_bytes is not None:
-        on_disk = input_bytes_many({n: f for n, f in frames.items() if n in skippable}, files, listing)
-        for name, nbytes in on_disk.items():
-            if nbytes > skip_above_bytes:
-                out[name] = Size(-1, nbytes)
+        states = _states(spark, sorted({f for fs in files.values() for f in fs}))
     for name, df in frames.items():
-        if name in out:
-            continue
-        key = _proof_key(df, files[name], listing)
+        key = _proof_key(df, files[name], states)
         hit = _PROOFS.get(key) if reuse and key else None
         if hit is not None and hit[0].sameSemantics(df):
             _PROOFS.move_to_end(key)
@@ -172,7 +159,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
     else ``(df, False)`` so the planner shuffles both sides (sort-merge join,
     with AQE splitting skewed partitions). Pass ``size`` if already measured."""
     max_rows, max_bytes = limits(max_rows, max_bytes)
-    size = size or measure_many({"df": df}, skip_above_bytes=max_bytes)["df"]
+    size = size or measure(df)
     if size.fits(max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False

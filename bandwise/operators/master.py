@@ -20,7 +20,8 @@ Plan choices, made per dimension:
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 from bandwise.operators.joins import Size, bounded_broadcast, limits, measure, measure_many
 from bandwise.sources.schemas import CONSUMER_PART, GEOGRAPHY_PART, MASTER_COLUMNS, PRODUCT_PART
 
+if TYPE_CHECKING:
+    from bandwise.sources.proofs import KeyProof
+
 PARTS = {
     "buyer": ("user_id", CONSUMER_PART),
     "product": ("product_id", PRODUCT_PART),
@@ -68,7 +72,8 @@ def keep_fanout(lines: DataFrame, dim: DataFrame, key: str,
 def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
                  geography: DataFrame, need: Iterable[str] = ALL_PARTS,
                  max_rows: int | None = None,
-                 max_bytes: int | None = None) -> DataFrame:
+                 max_bytes: int | None = None,
+                 proofs: Mapping[str, "KeyProof"] | None = None) -> DataFrame:
     """Wide order-line table from cleaned order lines, cleaned buyers, cleaned
     products and raw order geography. ``need`` names the attribute groups the
     caller reads (``buyer``, ``product``, ``geo``); the others only keep their
@@ -78,6 +83,8 @@ def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
     All three dimensions are measured in one job before planning the joins:
     the needed ones in full (broadcast or shuffle), the others by their
     repeated keys only (drop the join, broadcast the repeats, or join on key).
+    A dimension that has a stored proof (``proofs``, by attribute group) is
+    planned from it; if all have, no job runs here.
     """
     max_rows, max_bytes = limits(max_rows, max_bytes)
     need = set(need)
@@ -85,16 +92,17 @@ def build_master(tx: DataFrame, consumers: DataFrame, products: DataFrame,
     if unknown:
         raise ValueError(f"unknown master parts {sorted(unknown)}")
     dims = {"buyer": consumers, "product": products, "geo": geography}
-    right, repeats = {}, {}
+    proofs = proofs or {}
+    right, unproven, sizes = {}, {}, {}
     for part, (key, cols) in PARTS.items():
-        dim = dims[part]
+        dim, proof = dims[part], proofs.get(part)
         if part in need:
             right[part] = dim.select(key, *cols)
+        if proof is not None and proof.key == key:
+            sizes[part] = proof.size if part in need else proof.repeats
         else:
-            repeats[part] = repeated_keys(dim.select(key), key)
-    # one job: needed sides are not scanned when their files alone exceed
-    # the bound; repeated keys are always counted (the uniqueness proof)
-    sizes = measure_many({**right, **repeats}, skip_above_bytes=max_bytes, skippable=set(right))
+            unproven[part] = right[part] if part in need else repeated_keys(dim.select(key), key)
+    sizes.update(measure_many(unproven))
     master = tx.select(*ORDER_PART)
     for part, (key, _cols) in PARTS.items():
         if part in need:

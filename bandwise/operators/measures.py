@@ -2,9 +2,11 @@
 
 Every grouped report asks for named measures (order count, mean price,
 revenue, ...). Each measure is a function of a few partial aggregates --
-count, sum / min / max / population variance of price, revenue in whole
-cents, quantity sum, counts below / at-or-above a price -- that merge
-associatively. A report grouped on its own computes only the partials it
+count, price sum as whole cents and a rest, min / max, sum of squared
+deviations (M2), revenue in whole cents, quantity sum, counts below /
+at-or-above a price -- that merge (``merged``): over finer groups, over batches,
+in any order. Price and revenue sums are longs, so means do not depend on how
+rows were partitioned. A report grouped on its own computes only the partials it
 needs; a suite of reports computes them for all key sets in one GROUPING
 SETS pass and every report finishes from its own set. Both paths run the
 same finishers, so they give the same numbers.
@@ -17,16 +19,17 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bandwise.functions.money import cent_sum, money_round
+from bandwise.functions.money import cent_sum, from_parts, money_round, price_parts
 
 PRICE, QUANTITY, REVENUE = "price", "quantity", "line_revenue"
 
 _FIXED_PARTIALS: dict[str, Callable[[], Column]] = {
     "_n": lambda: F.count(F.lit(1)),
-    "_sp": lambda: F.sum(PRICE),
+    "_sc": lambda: F.sum(price_parts(PRICE)[0]),
+    "_sr": lambda: F.sum(price_parts(PRICE)[1]),
     "_mn": lambda: F.min(PRICE),
     "_mx": lambda: F.max(PRICE),
-    "_vp": lambda: F.var_pop(PRICE),
+    "_m2": lambda: F.var_pop(PRICE) * F.count(F.lit(1)),
     "_rc": lambda: cent_sum(REVENUE),
     "_q": lambda: F.sum(QUANTITY),
 }
@@ -44,20 +47,31 @@ def partial(name: str) -> Column:
     raise KeyError(name)
 
 
+def merged(name: str) -> Column:
+    """The aggregate that merges a partial of finer groups into coarser ones."""
+    if name in ("_mn", "_mx"):
+        return (F.min if name == "_mn" else F.max)(name).alias(name)
+    if name == "_m2":
+        total, part = from_parts(F.sum("_sc"), F.sum("_sr")), from_parts("_sc", "_sr")
+        between = F.sum(part * part / F.col("_n")) - total * total / F.sum("_n")
+        return (F.sum("_m2") + F.greatest(between, F.lit(0.0))).alias(name)
+    return F.sum(name).alias(name)
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
 
 def _mean_price() -> Column:
-    return _c("_sp") / _c("_n")
+    return from_parts("_sc", "_sr") / _c("_n")
 
 
 # name -> (partials needed, finisher over those partials)
 MEASURES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "count": (("_n",), lambda: _c("_n")),
-    "mean_price": (("_sp", "_n"), lambda: money_round(_mean_price())),
-    "raw_mean_price": (("_sp", "_n"), _mean_price),
-    "price_sum": (("_sp",), lambda: _c("_sp")),
+    "mean_price": (("_sc", "_sr", "_n"), lambda: money_round(_mean_price())),
+    "price_cents": (("_sc",), lambda: _c("_sc")),
+    "price_rest": (("_sr",), lambda: _c("_sr")),
     "min_price": (("_mn",), lambda: money_round("_mn")),
     "max_price": (("_mx",), lambda: money_round("_mx")),
     "revenue": (("_rc",), lambda: _c("_rc") / F.lit(100.0)),
@@ -66,8 +80,8 @@ MEASURES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "mean_units": (("_q", "_n"), lambda: money_round(_c("_q") / _c("_n"))),
     "revenue_per_order": (("_rc", "_n"), lambda: money_round(_c("_rc") / F.lit(100.0) / _c("_n"))),
     "raw_revenue_per_order": (("_rc", "_n"), lambda: _c("_rc") / F.lit(100.0) / _c("_n")),
-    "variance_pct": (("_vp", "_sp", "_n"), lambda: money_round(
-        F.try_divide(F.lit(100.0) * _c("_vp"), _mean_price() * _mean_price()))),
+    "variance_pct": (("_m2", "_sc", "_sr", "_n"), lambda: money_round(
+        F.try_divide(F.lit(100.0) * (_c("_m2") / _c("_n")), _mean_price() * _mean_price()))),
 }
 
 

@@ -29,7 +29,7 @@ from bandwise.functions.buckets import (
     PRICE_WALL_BUCKETS,
     Buckets,
 )
-from bandwise.functions.money import cent_sum, money_round, rows
+from bandwise.functions.money import from_parts, money_round, price_parts, rows
 from bandwise.operators.aggregates import lag_change, share_of_total, threshold_names
 from bandwise.operators.audit import join_key_audit, quality_audit
 from bandwise.operators.baseline import (
@@ -54,13 +54,14 @@ from bandwise.operators.ranking import best_band
 from bandwise.operators.tags import (
     CLAIM_TAGS,
     PREMIUM_CLAIM_TAGS,
-    claim_map,
-    explode_with_total,
-    tag_lists,
+    explode_weighted,
+    finish_tags,
+    tag_partials,
+    tag_weights,
 )
 from bandwise.session import checkpoint_root
 from bandwise.sources.bindings import Roles
-from bandwise.sources.csv import DIALECT, load_table
+from bandwise.sources.csv import DIALECT, load_report, load_table, replace_table
 
 P, Q, REV, OID = "price", "quantity", "line_revenue", "order_id"
 
@@ -98,6 +99,7 @@ class OrderLines:
         self._groups: DataFrame | None = None
         self._group_sets: dict[tuple[str, ...], int] = {}
         self._group_partials: frozenset[str] = frozenset()
+        self._tags: tuple[DataFrame, frozenset[str], str] | None = None
 
     # each cleaned role is planned on first use, so a report plans only the
     # tables it reads
@@ -126,7 +128,7 @@ class OrderLines:
         if self._table is not None:
             return self._table
         return build_master(self.transactions, self.consumers, self.products, self.geography,
-                            need=parts)
+                            need=parts, proofs=self.raw.proofs)
 
     def use_groups(self, table: DataFrame, sets: dict[tuple[str, ...], int],
                    partials: Iterable[str]) -> None:
@@ -150,6 +152,29 @@ class OrderLines:
             m = m.filter(where)
         return m.groupBy(*[key_column(k) for k in keys]).agg(*[partial(p) for p in partials])
 
+    def use_tags(self, partials: DataFrame, tags: Iterable[str], match: str) -> None:
+        """Serve tag figures from stored partials (``plans.suite``)."""
+        self._tags = (partials, frozenset(tags), match)
+
+    def has_tags(self, tags: Sequence[str], match: str) -> bool:
+        return self._tags is not None and set(tags) <= self._tags[1] and match == self._tags[2]
+
+    def tag_figures(self, tags: Sequence[str], match: str, total: bool = False) -> DataFrame:
+        """Per claim tag its distinct orders and sums (``operators.tags``), from
+        the suite's partials where they hold these tags, else from the master in
+        one pass. With ``total`` also a row with a NULL tag over all lines."""
+        if self.has_tags(tags, match):
+            out = finish_tags(self._tags[0].filter(F.col("claim_tag").isin(*tags)))
+            if total:
+                every = self.grouped((), [PRICE_BUCKETS], ["_n", "_sc", "_sr"])
+                out = out.unionByName(every.agg(*[F.sum(c).alias(c) for c in ("_n", "_sc", "_sr")]),
+                                      allowMissingColumns=True)
+            return out
+        weights, _ = bounded_broadcast(tag_weights(self.products, tags, match))
+        lines = self.master().select(OID, "product_id", P, Q, REV)
+        joined = lines.join(weights, "product_id", "left" if total else "inner")
+        return finish_tags(tag_partials(explode_weighted(joined, total)))
+
     def materialize(self, path: str | None = None) -> DataFrame:
         """Write the full master once as parquet in the shared checkpoint
         folder and let every later report read that table. This cuts the
@@ -159,7 +184,7 @@ class OrderLines:
         if path is None:
             path = f"{checkpoint_root(spark).rstrip('/')}/master-{uuid.uuid4().hex}"
         build_master(self.transactions, self.consumers, self.products, self.geography,
-                     need=ALL_PARTS).write.mode("overwrite").parquet(path)
+                     need=ALL_PARTS, proofs=self.raw.proofs).write.mode("overwrite").parquet(path)
         self._table = spark.read.parquet(path)
         return self._table
 
@@ -191,6 +216,84 @@ def csv_round_trip(lines: OrderLines, role: str = "transactions") -> DataFrame:
     return load_table(spark, path, role)
 
 
+def hard_cells(df: DataFrame, key: str, numbers: Sequence[str] = ()) -> DataFrame:
+    """The rows as CSV lines whose cells are hard to read, by key arithmetic: text
+    with separators, quotes and line breaks, missing-value tokens, padded cells;
+    numbers with suffixes, currency signs, exponents and blanks. Every cell is
+    quoted here in plain string functions, not by the CSV writer."""
+    cells = [F.col(key).cast("string")]
+    for place, c in enumerate([*numbers, *[c for c in df.columns if c != key and c not in numbers]], 1):
+        cell = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        m = F.pmod(F.col(key) + place, F.lit(7 if c in numbers else 9))
+        if c in numbers:
+            cell = (F.when(m == 0, F.concat(cell, F.lit("d"))).when(m == 1, F.concat(F.lit("$"), cell))
+                    .when(m == 2, F.concat(F.lit(" "), cell, F.lit(" ")))
+                    .when((m == 3) & (cell != "") & ~F.contains(cell, F.lit("E")), F.concat(cell, F.lit("e0")))
+                    .when(m == 4, F.lit("NaN")).otherwise(cell))
+        else:
+            cell = (F.when(m == 0, F.concat(cell, F.lit(', "'), cell, F.lit('"')))
+                    .when(m == 1, F.concat(cell, F.lit("\nmore"))).when(m == 2, F.lit("NA"))
+                    .when(m == 3, F.concat(F.lit('"'), cell)).when(m == 4, F.concat(F.lit(" "), cell, F.lit(" ")))
+                    .when(m == 5, F.lit("")).otherwise(cell))
+        cells.append(F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"')))
+    return df.select(F.concat_ws(",", *cells).alias("value"))
+
+
+# role attribute -> (CSV role, key, number columns)
+_CSV_ROLES = {
+    "consumers": ("consumer_insights", "user_id", ()),
+    "products": ("product_metadata", "product_id", ()),
+    "geography": ("geography_occasion", "order_id", ()),
+    "competitors": ("competitor_pricing", "competitor_product_id", ("price",)),
+}
+
+
+def csv_hard_load(lines: OrderLines, role: str) -> DataFrame:
+    """W01 on a role whose CSV cells are hard to read (``hard_cells``)."""
+    name, key, numbers = _CSV_ROLES[role]
+    df: DataFrame = getattr(lines.raw, role)
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/csv-{name}-{uuid.uuid4().hex}"
+    hard_cells(df, key, numbers).write.text(path)
+    return load_table(df.sparkSession, path, name, header=False)
+
+
+def csv_load_report(lines: OrderLines, files: int = 16) -> DataFrame:
+    """What the loader reports of product files in which rows lack cells, have
+    too many, hold line breaks, or (the last of each file) never close a quote."""
+    products = lines.raw.products
+    spark = products.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/csv-report-{uuid.uuid4().hex}"
+    file = F.pmod("product_id", F.lit(files)).alias("file")
+    last = F.broadcast(products.groupBy(file).agg(F.max("product_id").alias("last")))  # one row per file
+    quoted = [F.concat(F.lit('"'), F.coalesce(F.col(c), F.lit("")), F.lit('"')) for c in products.columns[1:]]
+    key, kind = F.col("product_id").cast("string"), F.col("product_id") % 10
+    whole = F.concat_ws(",", key, *quoted)
+    line = (F.when(F.col("product_id") == F.col("last"), F.concat(key, F.lit(',"never closed')))
+            .when(kind == 1, F.concat_ws(",", key, *quoted[:2]))
+            .when(kind == 2, F.concat(whole, F.lit(",more,cells")))
+            .when(kind == 3, F.concat_ws(",", key, F.lit('"two\nlines"'), *quoted[1:])).otherwise(whole))
+    rows_of = products.select("*", file).join(last, "file")
+    (rows_of.select("file", (F.col("product_id") == F.col("last")).alias("end"), line.alias("value"))
+     .repartition(files, "file").sortWithinPartitions("file", "end").select("file", "value")
+     .write.partitionBy("file").text(path))
+    report = load_report(spark, f"{path}/file=*", "product_metadata", header=False)
+    return report.groupBy("outcome").agg(F.sum("records").alias("records"), F.sum("lines").alias("lines"))
+
+
+def table_replaced(lines: OrderLines) -> DataFrame:
+    """The raw order lines kept as a table, then replaced by the cleaned ones,
+    which are read from the table that they replace."""
+    raw = lines.raw.transactions
+    spark = raw.sparkSession
+    table, folder = f"replaced_{uuid.uuid4().hex}", checkpoint_root(spark)
+    replace_table(raw, table, folder)
+    replace_table(clean_transactions(spark.table(table)), table, folder)
+    files = spark.table(table).inputFiles()
+    schema = spark.table(table).schema
+    spark.sql(f"DROP TABLE {table}")  # its files stay
+    return spark.read.schema(schema).parquet(*files)
+
+
 def cleaned_transactions(lines: OrderLines) -> DataFrame:
     return lines.transactions
 
@@ -319,28 +422,16 @@ def income_price_tier(lines: OrderLines, tiers: Buckets = INCOME_TIERS) -> DataF
 
 # ------------------------------------------------------ phase 2: context cuts
 
-def _tagged_lines(lines: OrderLines, tags: Sequence[str], match: str, cols: Sequence[str]) -> DataFrame:
-    """Order lines joined to the (product, tag) relation; inner join, so a line
-    appears once per tag of each matching product row."""
-    tag_rel, _ = bounded_broadcast(claim_map(lines.products, tags, match))
-    return lines.master().select(*cols).join(tag_rel, "product_id")
-
-
 def tag_performance(lines: OrderLines, tags: Sequence[str] = CLAIM_TAGS,
                     match: str = "substring") -> DataFrame:
-    """Q08: distinct orders, mean price, revenue, mean units per claim tag."""
-    j = _tagged_lines(lines, tags, match, ["order_id", "product_id", "price", "quantity", "line_revenue"])
-    # two-level aggregation instead of COUNT(DISTINCT) beside other
-    # aggregates (which Spark plans with an Expand that doubles every row):
-    # (tag, order) pre-aggregates carry decomposable sums, and the distinct
-    # orders of a tag are simply its (tag, order) rows
-    per_order = j.groupBy("claim_tag", OID).agg(
-        F.sum(P).alias("_p"), rows().alias("_n"), cent_sum(REV).alias("_c"), F.sum(Q).alias("_q"))
-    out = per_order.groupBy("claim_tag").agg(
-        rows().alias("order_count"),
-        money_round(F.sum("_p") / F.sum("_n")).alias("avg_price"),
-        (F.sum("_c") / F.lit(100.0)).alias("total_revenue"),
-        money_round(F.sum("_q") / F.sum("_n")).alias("avg_units_per_order"),
+    """Q08: distinct orders, mean price, revenue, mean units per claim tag. A
+    line counts once per listing of its product that carries the tag."""
+    out = lines.tag_figures(tags, match).select(
+        "claim_tag",
+        F.col("_orders").alias("order_count"),
+        money_round(from_parts("_sc", "_sr") / F.col("_n")).alias("avg_price"),
+        (F.col("_rc") / F.lit(100.0)).alias("total_revenue"),
+        money_round(F.col("_q") / F.col("_n")).alias("avg_units_per_order"),
     )
     return out.orderBy(F.desc("avg_price"), "claim_tag")
 
@@ -407,7 +498,7 @@ def tier_segment_yield(lines: OrderLines) -> DataFrame:
 def competitor_gap(lines: OrderLines) -> DataFrame:
     """Q16: category mean price against the competitor range."""
     ours = summarize(lines, ("product",), ["category"],
-                     {"our_avg_price": "mean_price", "our_order_count": "count"},
+                     {"our_avg_price": "mean_price"},
                      where=_present("category"))
     out = benchmark_gap(ours, competitor_summary(lines.competitors))
     return out.orderBy(F.desc("gap_vs_competitor"), "category")
@@ -446,27 +537,30 @@ def segment_income(lines: OrderLines) -> DataFrame:
         "persona", F.desc("avg_price"), "income_bracket")
 
 
-def _tag_lists(lines: OrderLines, tags: Sequence[str], match: str) -> DataFrame:
-    lists = tag_lists(claim_map(lines.products, tags, match))
-    return bounded_broadcast(lists)[0]
-
-
 def tag_premium(lines: OrderLines, tags: Sequence[str] = PREMIUM_CLAIM_TAGS,
                 match: str = "substring") -> DataFrame:
     """Q21: mean price per claim tag against the overall mean.
 
-    One pass over the order lines: they are reduced to (product, sum, count),
-    each product row is repeated once per tag it carries plus once under a
-    NULL tag, and one aggregation gives every tag's mean and -- under the
-    NULL tag -- the overall mean over all order lines (unknown products
+    From the suite's tag partials where they are there. Else one pass over the
+    order lines: they are reduced to (product, sums, count), each product row is
+    repeated once per tag it carries plus once under a NULL tag, and one
+    aggregation, weighted by the tag's listings, gives every tag's mean and --
+    under the NULL tag -- the overall mean over all order lines (unknown products
     included). Only product-level rows are fanned out.
     """
-    per_product = lines.master().groupBy("product_id").agg(F.sum(P).alias("_s"), rows().alias("_n"))
-    fanned = explode_with_total(per_product.join(_tag_lists(lines, tags, match), "product_id", "left"))
-    by_tag = fanned.groupBy("claim_tag").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    by_tag = with_baseline(by_tag, "_s", "_n", total_row=F.col("claim_tag").isNull())
+    if lines.has_tags(tags, match):
+        by_tag = lines.tag_figures(tags, match, total=True)
+    else:
+        whole, rest = price_parts(P)
+        per_product = lines.master().groupBy("product_id").agg(
+            F.sum(whole).alias("_sc"), F.sum(rest).alias("_sr"), rows().alias("_n"))
+        weights, _ = bounded_broadcast(tag_weights(lines.products, tags, match))
+        fanned = explode_weighted(per_product.join(weights, "product_id", "left"), total=True)
+        by_tag = fanned.groupBy("claim_tag").agg(
+            *[F.sum(F.col("copies") * F.col(c)).alias(c) for c in ("_sc", "_sr", "_n")])
+    by_tag = with_baseline(by_tag, "_sc", "_sr", "_n", total_row=F.col("claim_tag").isNull())
     out = lift_vs_baseline(by_tag.filter(F.col("claim_tag").isNotNull()),
-                           F.col("_s") / F.col("_n"), F.col("_baseline"), labels=FINDINGS_VERDICTS)
+                           from_parts("_sc", "_sr") / F.col("_n"), F.col("_baseline"), labels=FINDINGS_VERDICTS)
     return out.select("claim_tag", "avg_price", "vs_overall_avg", "verdict").orderBy(
         F.desc("avg_price"), "claim_tag")
 
@@ -475,22 +569,14 @@ def tag_premium_orders(lines: OrderLines, tags: Sequence[str] = PREMIUM_CLAIM_TA
                        match: str = "substring") -> DataFrame:
     """N5: Q21 plus distinct orders per tag, notebook verdict wording and
     ``vs_market_avg``. Distinct counting rules out the product-level
-    pre-aggregation, so order lines are fanned out per tag (plus the NULL
-    total row, whose order ids are masked so it adds no distinct work)."""
-    j = lines.master().select(OID, "product_id", P).join(
-        _tag_lists(lines, tags, match), "product_id", "left")
-    fanned = explode_with_total(j)
-    tagged = F.col("claim_tag").isNotNull()
-    # (tag, order) pre-aggregates; the total rows get a NULL order key so they
-    # collapse to one group instead of one per order
-    per_order = fanned.groupBy("claim_tag", F.when(tagged, F.col(OID)).alias("_o")).agg(
-        F.sum(P).alias("_s"), rows().alias("_n"))
-    by_tag = per_order.groupBy("claim_tag").agg(
-        F.count("_o").alias("orders"), F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    by_tag = with_baseline(by_tag, "_s", "_n", total_row=~tagged)
-    out = lift_vs_baseline(by_tag.filter(tagged), F.col("_s") / F.col("_n"), F.col("_baseline"),
+    pre-aggregation, so order lines are fanned out per tag, plus a NULL total
+    row that counts no orders."""
+    by_tag = lines.tag_figures(tags, match, total=True)
+    by_tag = with_baseline(by_tag, "_sc", "_sr", "_n", total_row=F.col("claim_tag").isNull())
+    out = lift_vs_baseline(by_tag.filter(F.col("claim_tag").isNotNull()),
+                           from_parts("_sc", "_sr") / F.col("_n"), F.col("_baseline"),
                            diff_col="vs_market_avg", labels=NOTEBOOK_VERDICTS)
-    return out.select("claim_tag", "orders", "avg_price", "vs_market_avg", "verdict").orderBy(
+    return out.select("claim_tag", F.col("_orders").alias("orders"), "avg_price", "vs_market_avg", "verdict").orderBy(
         F.desc("avg_price"), "claim_tag")
 
 
@@ -506,9 +592,9 @@ def occasion_vs_baseline(lines: OrderLines) -> DataFrame:
     """Q23 (= N7): mean price per occasion against the overall mean of all
     order lines (NULL occasion included). One pass: per-occasion sums with
     the NULL group, baseline from those rows, then the NULL group dropped."""
-    per = summarize(lines, ("geo",), ["occasion"], {"orders": "count", "_s": "price_sum"})
-    per = with_baseline(per, "_s", "orders")
-    raw = F.col("_s") / F.col("orders")
+    per = summarize(lines, ("geo",), ["occasion"], {"orders": "count", "_sc": "price_cents", "_sr": "price_rest"})
+    per = with_baseline(per, "_sc", "_sr", "orders")
+    raw = from_parts("_sc", "_sr") / F.col("orders")
     out = per.filter(_present("occasion")).select(
         "occasion", "orders", money_round(raw).alias("avg_price"),
         money_round(raw - F.col("_baseline")).alias("vs_overall_avg"))

@@ -1,10 +1,11 @@
 """Bind the driver's parquet tables to the five input roles.
 
 Two bindings share the buyer, product, geography and competitor roles and
-differ in where order lines come from:
+differ in where order lines come from; a third varies them all:
 
 * ``a`` -- order lines from ``events`` (price = value, product = props.k)
 * ``b`` -- order lines from ``lineitem`` joined to ``orders``
+* ``c`` -- as ``b``, prices by product line, repeated and NULL dimension keys
 
 Dirt (negative prices, blank or padded personas, category typos, missing
 tiers, NULL competitor prices) is injected by key arithmetic, so every
@@ -45,6 +46,8 @@ class Roles:
             raise ValueError(f"missing roles {sorted(missing)}")
         self._builders = roles
         self._built: dict[str, DataFrame] = {}
+        # stored key proofs by attribute group (``sources.proofs``)
+        self.proofs: dict = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in Roles._NAMES:
@@ -54,6 +57,15 @@ class Roles:
             self._built[name] = role if isinstance(role, DataFrame) else role()
         return self._built[name]
 
+    def replaced(self, **roles) -> "Roles":
+        """These roles with some given anew; proofs of the others stay."""
+        out = Roles(**{**self._builders, **roles})
+        out.proofs = {part: p for part, p in self.proofs.items() if _ROLE_OF_PART[part] not in roles}
+        return out
+
+
+_ROLE_OF_PART = {"buyer": "consumers", "product": "products", "geo": "geography"}
+
 
 # Columns each binding reads, with their types as written in the test tables.
 # Declaring them skips footer-based schema inference on every open (costly
@@ -201,7 +213,73 @@ def competitors(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
     )
 
 
-BINDINGS = {"a": transactions_a, "b": transactions_b}
+# Binding c: the lines of b with prices spread over 40 product lines, so that cheap
+# and dear categories, every competitor position and verdict and low-band winners
+# occur; and dimensions with repeated and NULL join keys.
+
+def transactions_c(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
+    read = reader or _read
+    li = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    orders, _ = bounded_broadcast(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    lines = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
+    # product line 20 sells at the competitors' mean
+    price = F.when(F.col("l_partkey") % 40 == 20, 60.0).otherwise(
+        money_sql("try_divide(l_extendedprice, l_quantity) / 50.0D * (1 + l_partkey % 40) / 8.0D"))
+    return lines.select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("o_custkey").alias("user_id"),
+        F.col("l_partkey").alias("product_id"),
+        F.when(F.col("l_orderkey") % 47 == 0, -price).otherwise(price).alias("price"),
+        F.expr("CAST(l_quantity * IF(o_custkey % 2 = 0 AND l_partkey % 40 < 4, 60, 1) AS INT)").alias("quantity"),
+        F.col("l_shipdate").cast("string").alias("timestamp"),
+        F.col("o_orderpriority").alias("channel"),
+    )
+
+
+def _copies(key: str, twice: int, keyless: int) -> str:
+    """SQL: 0 for every row; 1 more for a second row of the same key, 2 for one
+    without a key."""
+    return (f"explode(CASE WHEN {key} % {twice} = 0 THEN array(0, 1) WHEN {key} % {keyless} = 0 THEN array(0, 2)"
+            f" ELSE array(0) END) AS copy")
+
+
+def consumers_c(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
+    base = consumers(spark, sf_dir, reader)
+    return base.selectExpr("*", _copies("user_id", 17, 23)).selectExpr(
+        "IF(copy = 2, NULL, user_id) AS user_id",
+        "concat(persona, ' ', CAST(user_id % 6 AS STRING), IF(copy = 1, ' again', '')) AS persona",
+        *[c for c in base.columns if c not in ("user_id", "persona")])
+
+
+def products_c(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
+    base = products(spark, sf_dir, reader)
+    return base.selectExpr("*", _copies("product_id", 13, 31)).selectExpr(
+        "IF(copy = 2, NULL, product_id) AS product_id",
+        "IF(category IS NULL OR category LIKE 'Prot%', category, concat('Line ', CAST(product_id % 40 AS STRING))) AS category",
+        "CASE WHEN copy = 1 THEN concat('gear, ', claims) WHEN product_id % 40 < 8 THEN 'Cold blue'"
+        " WHEN product_id % 40 >= 32 THEN 'RED hot' ELSE claims END AS claims",
+        "ingredient_tags", "pack_size")
+
+
+def geography_c(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
+    base = geography(spark, sf_dir, reader)
+    return base.selectExpr("*", _copies("order_id", 19, 29)).selectExpr(
+        "IF(copy = 2, NULL, order_id) AS order_id", "state", "city_tier",
+        "IF(copy = 1, 'festive', occasion) AS occasion")
+
+
+def competitors_c(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
+    return competitors(spark, sf_dir, reader).selectExpr(
+        "competitor_product_id", "IF(price IS NULL, NULL, IF(competitor_product_id % 2 = 0, 70.0D, 50.0D)) AS price",
+        "`timestamp`")
+
+
+BINDINGS = {
+    "a": (transactions_a, consumers, products, geography, competitors),
+    "b": (transactions_b, consumers, products, geography, competitors),
+    "c": (transactions_c, consumers_c, products_c, geography_c, competitors_c),
+}
 
 
 class _Tables:
@@ -223,10 +301,11 @@ def bind(spark: SparkSession, sf_dir: str, binding: str = "a") -> Roles:
     def lazy(fn):
         return lambda: fn(spark, sf_dir, reader=tables)
 
+    tx, cons, prods, geo, comp = BINDINGS[binding]
     return Roles(
-        transactions=lazy(BINDINGS[binding]),
-        consumers=lazy(consumers),
-        products=lazy(products),
-        geography=lazy(geography),
-        competitors=lazy(competitors),
+        transactions=lazy(tx),
+        consumers=lazy(cons),
+        products=lazy(prods),
+        geography=lazy(geo),
+        competitors=lazy(comp),
     )

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bandwise.sources.bindings import Roles
+from bandwise.sources.proofs import prove_key, stored_proof
 
 ROLE_TABLES = {
     "transactions": "transactions",
@@ -23,6 +24,9 @@ ROLE_TABLES = {
     "competitors": "competitor_pricing",
 }
 BUCKETED = {"transactions": "order_id", "geography": "order_id"}
+# The keys on which the master joins each dimension, by its attribute group.
+JOIN_KEYS = {"buyer": ("consumers", "user_id"), "product": ("products", "product_id"),
+             "geo": ("geography", "order_id")}
 
 
 def bucket_count(input_bytes: int, target_bytes: int = 256 * 1024 * 1024) -> int:
@@ -36,7 +40,8 @@ def _name(prefix: str, role: str) -> str:
 
 def save_roles(roles: Roles, prefix: str = "", buckets: int = 64) -> dict[str, str]:
     """Write the roles as tables named ``prefix + role table``; returns
-    role -> table name. Existing tables are replaced."""
+    role -> table name. Existing tables are replaced. Each dimension's key proof
+    is taken and stored with its table (``sources.proofs``)."""
     names = {}
     for role in ROLE_TABLES:
         df: DataFrame = getattr(roles, role)
@@ -47,9 +52,17 @@ def save_roles(roles: Roles, prefix: str = "", buckets: int = 64) -> dict[str, s
         name = _name(prefix, role)
         writer.saveAsTable(name)
         names[role] = name
+    for role, key in JOIN_KEYS.values():
+        prove_key(roles.transactions.sparkSession, names[role], key)
     return names
 
 
 def table_roles(spark: SparkSession, prefix: str = "") -> Roles:
-    """Roles read from the tables written by ``save_roles``."""
-    return Roles(**{role: (lambda n=_name(prefix, role): spark.table(n)) for role in ROLE_TABLES})
+    """Roles read from the tables written by ``save_roles``, with the key proofs
+    that still hold."""
+    roles = Roles(**{role: (lambda n=_name(prefix, role): spark.table(n)) for role in ROLE_TABLES})
+    for part, (role, key) in JOIN_KEYS.items():
+        proof = stored_proof(spark, _name(prefix, role), key)
+        if proof is not None:
+            roles.proofs[part] = proof
+    return roles

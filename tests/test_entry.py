@@ -14,7 +14,7 @@ def test_entry_runs_on_smoke_tables(spark):
 def test_every_query_has_oracle_and_distinct_key():
     q, o = ent.registry(), ent.oracle_registry()
     assert set(q) == set(o)
-    assert len(q) == 67
+    assert len(q) == 86
     for name in q:
         assert name.split("_")[0][0] in "wqn"
     assert set(q) <= set(ent.queries()) and set(o) <= set(ent.oracle_sql()) <= set(ent.queries())

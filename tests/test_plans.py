@@ -64,16 +64,16 @@ def test_tag_fanout_is_one_product_scan(parquet_lines):
     assert "Union" not in text
 
 
-def test_large_inputs_are_not_scanned_to_decide_a_broadcast(spark, parquet_lines):
-    from bandwise.operators.joins import bounded_broadcast, input_bytes_many, measure_many
-    geo = parquet_lines.geography
-    on_disk = input_bytes_many({"g": geo})["g"]
-    assert on_disk > 0
-    sized = measure_many({"g": geo}, skip_above_bytes=on_disk - 1)["g"]
-    assert sized.rows == -1 and not sized.fits()
-    _, broadcast = bounded_broadcast(geo, max_bytes=on_disk - 1)
-    assert not broadcast
-    assert measure_many({"g": geo}, skip_above_bytes=on_disk + 1)["g"].rows == 5
+def test_broadcast_follows_the_selected_columns_not_the_file(spark, scratch):
+    """A wide file whose selected columns are small is broadcast."""
+    from bandwise.operators.joins import bounded_broadcast, measure
+    path = os.path.join(scratch, "wide.parquet")
+    spark.range(2000).selectExpr("id", "sha2(CAST(id AS STRING), 512) || uuid() AS filler").write.parquet(path)
+    narrow = spark.read.parquet(path).select("id")
+    assert measure(narrow).bytes == 2000 * 16
+    assert os.path.getsize(next(f.path for f in os.scandir(path) if f.name.endswith(".parquet"))) > 40_000 / 8
+    assert bounded_broadcast(narrow, max_bytes=40_000)[1]
+    assert not bounded_broadcast(spark.read.parquet(path), max_bytes=40_000)[1]
 
 
 def test_size_proofs_can_be_cleared(spark, parquet_lines):

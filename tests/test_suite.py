@@ -8,8 +8,9 @@ from conftest import SF01
 from bandwise.plans import reports as r
 from bandwise.plans.catalog import ENTRIES, order_lines
 from bandwise.plans.suite import SUITE_SETS, group_all
+from bandwise.sources.bindings import CLAIM_TAGS_ALL
 
-GROUPED = [e for e in ENTRIES if e.qid.startswith(("q", "n")) and e.qid not in ("q08", "q21", "n5")]
+GROUPED = [e for e in ENTRIES if e.qid.startswith(("q", "n"))]
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def pair(spark):
     alone = order_lines(spark, SF01, "b")
     suite = order_lines(spark, SF01, "b")
     suite.materialize()
-    group_all(suite)
+    group_all(suite, tags=CLAIM_TAGS_ALL)
     return alone, suite
 
 

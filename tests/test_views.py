@@ -29,12 +29,10 @@ def test_sql_report_matches_dataframe_report(spark, scratch):
     assert [tuple(x) for x in sql.collect()] == [tuple(x) for x in frame.collect()]
 
 
-def test_replace_table_overwrites(spark, scratch):
-    from bandwise.sources.csv import append_table, replace_table
+def test_append_table(spark, scratch):
+    from bandwise.sources.csv import append_table
     path = f"{scratch}/t.parquet"
     df = spark.range(3)
     append_table(df, path)
     append_table(df, path)
     assert spark.read.parquet(path).count() == 6
-    replace_table(df, path)
-    assert spark.read.parquet(path).count() == 3
