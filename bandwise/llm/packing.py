@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.llm import scratch
-from bandwise.llm.bpe import encode_text, tokenizer_memo, worker_memo
+from bandwise.llm.bpe import encoded, tokenizer_memo, worker_memo
 
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
@@ -51,10 +51,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo(tokenizer_memo, tokenizer)
         counter = TaskContext.get().partitionId() << 38
-        for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode_text(text, memo) + end
+        for part, all_ids, first in (x for b in batches for x in encoded(b, 1, memo)):
+            out, raw = [], all_ids.tobytes()
+            for doc, x, y in zip(part.column(0).to_pylist(), (4 * first[:-1]).tolist(), (4 * first[1:]).tolist()):
+                ids = raw[x:y] + end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     counter += 1

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bandwise.llm.bpe import encode_text, tokenizer_memo, worker_memo
+from bandwise.llm.bpe import encode_text, encoded, tokenizer_memo, worker_memo
 
 BLOCK_BYTES = 1 << 20
 DICT_BYTES = 1 << 16
@@ -42,15 +42,15 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     places = [r.h for r in marked.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]
     sample = marked.where(F.col("h").isin(places)).select("text").limit(SAMPLE_DOCS).collect() if places else []
     memo = worker_memo(tokenizer_memo, tokenizer)
-    arrays = [_pack_ids(encode_text(r.text, memo), end_id, width) for r in sample]
+    arrays = [_pack_ids(np.frombuffer(encode_text(r.text, memo), "<u4"), end_id, width) for r in sample]
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
-def _pack_ids(ids: bytes, end_id: int, width: int) -> bytes:
-    return np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(f"<u{width}").tobytes()
+def _pack_ids(ids: np.ndarray, end_id: int, width: int) -> bytes:
+    return np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
 def _dictionary(raw: bytes):
@@ -73,6 +73,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
     name = hashlib.sha256(raw).hexdigest()
     shared = spark.sparkContext.broadcast(raw)
 
+    def texts(batches: Iterator[pa.RecordBatch], memo) -> Iterator[tuple]:
+        for b in batches:
+            for part, ids, first in encoded(b, 1, memo):
+                for doc, x, y in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                    yield doc, ids[x:y]
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo(tokenizer_memo, tokenizer)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value))
@@ -87,18 +93,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
                    "offsets": offsets.tolist(), "counts": counts, "data": b"".join(frames)}
             return pa.RecordBatch.from_pylist([row], _SCHEMA)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                packed = _pack_ids(encode_text(text, memo), end_id, width)
-                frame = packer.compress(packed)
-                ids.append(doc)
-                counts.append(len(packed) // width)
-                frames.append(frame)
-                held += len(frame)
-                if held >= block_bytes:
-                    yield flush()
-                    block, before = block + 1, before + sum(counts)
-                    ids, counts, frames, held = [], [], [], 0
+        for doc, raw in texts(batches, memo):
+            packed = _pack_ids(raw, end_id, width)
+            frame = packer.compress(packed)
+            ids.append(doc)
+            counts.append(len(packed) // width)
+            frames.append(frame)
+            held += len(frame)
+            if held >= block_bytes:
+                yield flush()
+                block, before = block + 1, before + sum(counts)
+                ids, counts, frames, held = [], [], [], 0
         if ids:
             yield flush()
 
