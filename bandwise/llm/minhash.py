@@ -206,12 +206,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     buckets = scratch.cut(
         banded.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1"),
         "buckets")
+    # The members of buckets with more than one, the only ones to be compared.
+    banded = scratch.cut(banded.join(buckets, ["band", "key"]), "members")
     least = _least_agreement(percent / 100, bands * rows)
-    star = (banded.join(buckets, ["band", "key"]).where("rep <> centre")
+    star = (banded.where("rep <> centre")
             .select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     marked = reps.select("rep", "signature")
-    # Texts of representatives that share a bucket, the only ones to be compared.
-    shared = banded.join(buckets, ["band", "key"]).select("rep").distinct()
+    shared = banded.select("rep").distinct()
     own = scratch.cut(texts.join(shared, F.col("doc_id") == F.col("rep"), "left_semi")
                       .select(F.col("doc_id").alias("rep"), "text"), "texts")
     star = (star.join(marked.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     first = scratch.cut(_verified(scratch.cut(_agreeing(star, least), "pairs"), own, width, percent).union(repeated),
                         "links")
     roots = scratch.cut(components(first), "roots")
-    labelled = (banded.join(buckets.where("n > 2"), ["band", "key"])
+    labelled = (banded.where("n > 2")
                 .join(roots, F.col("rep") == F.col("node"), "left")
                 .withColumn("root", F.coalesce("root", "rep")))
     open_ = scratch.cut(
