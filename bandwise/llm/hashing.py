@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_SEGMENT = 1 << 21
-# Odd multipliers, drawn once.
-_BYTE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_SEED = 20240607
+# Odd multipliers, drawn once. A run's hash is a polynomial in its words' hashes,
+# which are random 64-bit values: texts cannot be chosen to make them agree.
 _RUN = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -52,23 +54,19 @@ class Words:
         self.left = self.counts[self.doc] - self.position  # words from here to the end of the text
         offset = begin[self.doc]
         self.start, self.end = start - offset, end - offset
-        self.hashes = [self._hash(data, start, end, k) for k in range(seeds)]
+        self.hashes = self._hash(data[~space], end - start, seeds)
         self._sums = {}
 
     @staticmethod
-    def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
-        out = np.zeros(len(start), np.uint64)
-        a = 0
-        while a < len(start):  # as many words at a time as fit a segment, one at least
-            b = max(a + 1, int(np.searchsorted(end, start[a] + _SEGMENT, side="right")))
-            lo, hi = int(start[a]), int(end[b - 1])
-            power, back = _powers(_BYTE[k], hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], out=sums[1:])
-            s, e = start[a:b] - lo, end[a:b] - lo
-            out[a:b] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-            a = b
-        return out
+    def _hash(letters: np.ndarray, lengths: np.ndarray, seeds: int) -> list[np.ndarray]:
+        """xxh3-128 of each distinct word: its halves are the words' hashes."""
+        places = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(places), pa.py_buffer(letters)])
+        coded = words.dictionary_encode()
+        both = b"".join([xxhash.xxh3_128_digest(w, _SEED) for w in coded.dictionary.to_pylist()])
+        halves = np.frombuffer(both, "<u8").reshape(-1, 2)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return [halves[at, k] for k in range(seeds)]
 
     def runs(self, at: np.ndarray, length, k: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each word ``at`` on."""
