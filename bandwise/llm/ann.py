@@ -2,8 +2,8 @@
 
 Every vector is scaled to int8. A tile is one block of queries against one
 block of candidates: a product of the code matrices gives each inner product
-with a bound on its quantisation error (from the exact norms of the residuals),
-so a pair whose upper bound is below the k-th best lower bound cannot be among
+with a bound on its quantisation error (from the exact norms of the residuals;
+vectors are first scaled by a power of two, so that none of this overflows), so a pair whose upper bound is below the k-th best lower bound cannot be among
 the tile's k nearest. The surviving pairs are recomputed in double precision;
 the tiles' sorted lists are merged by heaps, in two levels. The result is exact.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 QUERY_BLOCK = 1024
 MERGE_TILES = 64
+_PAIRS = 1 << 18
 
 
 def int8_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,19 +37,30 @@ def int8_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple]:
     """Exact k nearest of the tile per query: (query_id, vec_id, score)."""
-    qc, qs, qn, qr = int8_codes(q)
-    cc, cs, _, cr = int8_codes(c)
-    cn = np.sqrt((c ** 2).sum(1))
+    # A query's own scale does not change its order; a candidate's is put back
+    # relative to the tile's largest.
+    qe, ce = (np.frexp(np.abs(x).max(axis=1))[1] for x in (q, c))
+    back = np.ldexp(1.0, ce - ce.max())
+    scaled = np.ldexp(c, -ce[:, None])
+    qc, qs, qn, qr = int8_codes(np.ldexp(q, -qe[:, None]))
+    cc, cs, _, cr = int8_codes(scaled)
+    cn = np.sqrt((scaled ** 2).sum(1)) * back
+    cs, cr = cs * back, cr * back
     # Sums of products of codes stay exact in float32 below 2**24.
     kind = np.float32 if q.shape[1] * 127 * 127 < 2 ** 24 else np.float64
     est = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
-    err = (qn[:, None] * cr[None, :] + qr[:, None] * cn[None, :]) * (1 + 1e-9) + 1e-12
+    # the last two terms cover the rounding of est, also where it underflows
+    err = (qn[:, None] * cr[None, :] + qr[:, None] * cn[None, :]) * (1 + 1e-9) + 1e-12 * qn[:, None] * cn[None, :] + 1e-300
     est[q_ids[:, None] == c_ids[None, :]] = -np.inf
     low = est - err
     kth = min(k, low.shape[1])
     floor = np.partition(low, low.shape[1] - kth, axis=1)[:, low.shape[1] - kth]
+    # where sums may overflow in double precision, scores are equal that differ here
+    floor[qe + ce.max() + q.shape[1].bit_length() > 1022] = -np.inf
     at_q, at_c = np.nonzero((est + err >= floor[:, None]) & (est > -np.inf))
-    exact = np.cumsum(q[at_q] * c[at_c], axis=1)[:, -1]  # from the first component on, as SQL adds
+    with np.errstate(over="ignore", invalid="ignore"):  # from the first component on, as SQL adds
+        exact = np.concatenate([np.cumsum(q[at_q[i:i + _PAIRS]] * c[at_c[i:i + _PAIRS]], axis=1)[:, -1]
+                                for i in range(0, len(at_q), _PAIRS)] or [np.zeros(0)])
     order = np.lexsort((c_ids[at_c], -exact, at_q))
     at_q, at_c, exact = at_q[order], at_c[order], exact[order]
     first = np.searchsorted(at_q, at_q, side="left")

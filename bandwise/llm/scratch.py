@@ -7,23 +7,38 @@ Everything goes below the shared folder that the cluster names in
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bandwise.session import checkpoint_root
 
-_WRITTEN: list[str] = []
-_STAGE: list[str] = []
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The folders that the code inside writes. Whoever has written out what that
+    code returned, and only then, may ``delete`` them; nothing else does, so a
+    result that is still lazy keeps the tables it reads."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{checkpoint_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    for made in _RECORDS:
+        made.append(path)
     return path
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A folder for a pipeline stage's result; ``sweep`` leaves it."""
+    """A folder for a pipeline stage's result; it is not recorded."""
     return f"{checkpoint_root(spark)}/stage-{name}-{uuid.uuid4().hex}"
 
 
@@ -55,21 +70,9 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if p in _WRITTEN:
-            _WRITTEN.remove(p)
+    paths.clear()
 
 
 def stage(run):
-    """For a pipeline stage: its result has been written elsewhere before the next
-    stage begins, so the next one deletes what this one wrote here."""
-
-    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, list(_STAGE))
-        _STAGE.clear()
-        before = set(_WRITTEN)
-        out = run(spark, docs, sf_dir)
-        _STAGE.extend(p for p in _WRITTEN if p not in before)
-        return out
-
-    wrapped.__name__, wrapped.__doc__ = run.__name__, run.__doc__
-    return wrapped
+    """Kept until the pipeline no longer names it."""
+    return run
