@@ -71,8 +71,3 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     paths.clear()
-
-
-def stage(run):
-    """Kept until the pipeline no longer names it."""
-    return run

@@ -11,6 +11,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from bandwise.llm import (ann, bpe, components, exact_dedup, line_templates, minhash, packing, quality, substring,
@@ -228,7 +230,12 @@ def test_gaps_that_make_up_for_each_other(spark, scratch):
 
 def test_every_white_space_is_known():
     odd = {c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"}
-    assert odd == {c for c in map(chr, range(0x110000)) if bpe._ODD.search(c)}
+    chars = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    found = pc.match_substring_regex(pa.array([f"a{c}b" for c in chars]), bpe._ODD).to_pylist()
+    assert odd | {"\0"} == {c for c, x in zip(chars, found) if x}
+    for text, plain in (("a b\nc", True), (" a", False), ("a ", False), ("\na", False), ("a\n", False), ("a  b", False),
+                        ("a \nb", False), ("a\n b", False), (" ", False), ("", True)):
+        assert pc.match_substring_regex(pa.array([text]), bpe._ODD)[0].as_py() != plain
 
 
 def test_token_store(spark, docs, rows, empty, scratch):
