@@ -49,8 +49,11 @@ def _tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     # Sums of products of codes stay exact in float32 below 2**24.
     kind = np.float32 if q.shape[1] * 127 * 127 < 2 ** 24 else np.float64
     est = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
-    # the last two terms cover the rounding of est, also where it underflows
-    err = (qn[:, None] * cr[None, :] + qr[:, None] * cn[None, :]) * (1 + 1e-9) + 1e-12 * qn[:, None] * cn[None, :] + 1e-300
+    err = (qn[:, None] * cr[None, :] + qr[:, None] * cn[None, :]) * (1 + 1e-9)
+    # the rounding of est and of the double sums, and what these lose where products underflow
+    with np.errstate(over="ignore"):
+        lost = np.ldexp(float(q.shape[1]), -1074 - qe - ce.max())
+    err += 1e-12 * qn[:, None] * cn[None, :] + lost[:, None] + 1e-300
     est[q_ids[:, None] == c_ids[None, :]] = -np.inf
     low = est - err
     kth = min(k, low.shape[1])

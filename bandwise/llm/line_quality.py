@@ -58,7 +58,7 @@ def _lines(text: str) -> Column:
     """Normalised lines: A-Z in lower case, runs of digits as 0, white space as
     single blanks, none at the ends."""
     plain = F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[0-9]+", "0")
-    return F.transform(F.split(F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1), F.trim)
+    return F.transform(F.split(F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1), lambda x: F.trim(x))
 
 
 def base_rules(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -104,7 +104,7 @@ def _having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         return rows.join(F.broadcast(keys.select(key)), key, "left_semi")
     hot = F.broadcast(keys.where(F.col("rows") > total // SMALL).select(key))
     cold = keys.where(F.col("rows") <= total // SMALL).select(key)
-    return rows.join(hot, key, "left_semi").unionAll(
+    return rows.join(hot, key, "left_semi").select(*rows.columns).unionAll(
         rows.join(hot, key, "left_anti").join(cold, key, "left_semi").select(*rows.columns))
 
 

@@ -27,7 +27,7 @@ def recording() -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _RECORDS.remove(made)
+        _RECORDS[:] = [m for m in _RECORDS if m is not made]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
