@@ -70,9 +70,10 @@ def main() -> None:
     suite_lines = None
     if args.suite:
         from bandwise.plans.suite import group_all
+        from bandwise.sources.bindings import CLAIM_TAGS_ALL
         suite_lines = order_lines(spark, args.sf_dir, args.binding)
         suite_lines.materialize()
-        table = group_all(suite_lines)
+        table = group_all(suite_lines, tags=CLAIM_TAGS_ALL)
     print(f"## Binding {args.binding}, {os.path.basename(args.sf_dir)}, {shape}\n")
     print("Generated by `tools/plan_summary.py` from the AQE final plans. Scans list the")
     print("parquet tables read; `hash` shuffles include the partial-aggregate exchanges")
