@@ -293,13 +293,16 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
 
     chunks = long.mapInPandas(cut, "row long, doc_id long, at long, text string, last boolean")
 
+    # Boundaries travel as the distances between them, which compress well.
+    lengths = "<u2" if chunk + overlap < 1 << 16 else "<u4"
+
     def pretokenise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = regex.compile(pattern)
         for f in frames:
             ends = [np.array([m.end() for m in find.finditer(t)], "<i4") for t in f.text]
             # The last match of a chunk that goes on may be cut off; a white
             # space run at its end may be shared out otherwise.
-            f["ends"] = [(e if last else e[e < len(t) - 1][:-1]).tobytes()
+            f["ends"] = [np.diff(e if last else e[e < len(t) - 1][:-1], prepend=np.int32(0)).astype(lengths).tobytes()
                          for e, t, last in zip(ends, f.text, f["last"])]
             yield f
 
@@ -308,6 +311,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
 
     def stitch(key, f: pd.DataFrame) -> pd.DataFrame:
         memo, table = worker_memo(rank_memo, ranks, pattern)
+        f["ends"] = [np.cumsum(np.frombuffer(e, lengths), dtype="<i4").tobytes() for e in f.ends]
         tokens = stitched(f.sort_values("at"), chunk, overlap, pattern)
         ids = b"".join(map(memo.__getitem__, tokens))
         return _encoded(pa.array([f.doc_id.iloc[0]], pa.int64(), from_pandas=True), [ids], table).to_pandas()
