@@ -37,9 +37,7 @@ def cents(c: Column | str) -> Column:
     per-row hot path; magnitudes beyond the exact range take the decimal path."""
     x = _col(c)
     k = F.rint(x * F.lit(1e10))
-    half = F.lit(5e7)
-    fast = F.when(k >= 0, F.floor((k + half) / F.lit(1e8))).otherwise(
-        -F.floor((half - k) / F.lit(1e8)))
+    fast = (F.signum(x) * F.floor((F.abs(k) + F.lit(5e7)) / F.lit(1e8))).cast("long")
     exact = (F.round(x.cast(_SNAP), 2) * 100).cast("long")
     return F.when(F.abs(x) < _FAST_LIMIT, fast).otherwise(exact).cast("long")
 
@@ -51,10 +49,14 @@ def money(c: Column | str) -> Column:
 
 def money_sql(x: str) -> Column:
     """``money`` for an amount given as SQL text: the same rule, parsed once
-    on the JVM instead of assembled call by call from the driver."""
+    on the JVM instead of assembled call by call from the driver.
+
+    A filter on the amount is pushed below the projection that names it, so the
+    text is repeated in every comparison. The rule names ``x`` as rarely as it can:
+    the JVM does not compile a generated method of more than 8,000 bytes."""
     x = f"({x})"
     k = f"rint({x} * 1e10)"
-    fast = f"CASE WHEN {k} >= 0 THEN floor(({k} + 5e7) / 1e8) ELSE -floor((5e7 - {k}) / 1e8) END"
+    fast = f"CAST(signum({x}) * floor((abs({k}) + 5e7) / 1e8) AS BIGINT)"
     exact = f"CAST(round(CAST({x} AS DECIMAL(38,10)), 2) * 100 AS BIGINT)"
     return F.expr(f"CAST(CASE WHEN abs({x}) < 9e5 THEN {fast} ELSE {exact} END AS BIGINT) / 100.0D")
 

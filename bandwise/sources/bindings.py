@@ -103,6 +103,12 @@ def unit_price(extended: str = "l_extendedprice", quantity: str = "l_quantity")
     return money_sql(f"try_divide(try_divide({extended}, {quantity}), 50.0)")
 
 
+def _refund(key: str) -> Column:
+    """-1 for every forty-seventh key, else 1. A factor, so that the price is not
+    written out once for either sign."""
+    return F.when(F.col(key) % 47 == 0, -1.0).otherwise(1.0)
+
+
 def transactions_a(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
     read = reader or _read
     return read(spark, sf_dir, "events").selectExpr(
@@ -131,7 +137,7 @@ def transactions_b(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("product_id"),
-        F.when(F.col("l_orderkey") % 47 == 0, -up).otherwise(up).alias("price"),
+        (up * _refund("l_orderkey")).alias("price"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.col("l_shipdate").cast("string").alias("timestamp"),
         F.col("o_orderpriority").alias("channel"),
@@ -230,7 +236,7 @@ def transactions_c(spark: SparkSession, sf_dir: str, reader=None) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("product_id"),
-        F.when(F.col("l_orderkey") % 47 == 0, -price).otherwise(price).alias("price"),
+        (price * _refund("l_orderkey")).alias("price"),
         F.expr("CAST(l_quantity * IF(o_custkey % 2 = 0 AND l_partkey % 40 < 4, 60, 1) AS INT)").alias("quantity"),
         F.col("l_shipdate").cast("string").alias("timestamp"),
         F.col("o_orderpriority").alias("channel"),

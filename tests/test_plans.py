@@ -3,14 +3,22 @@ dimensions cost no join, broadcasts appear only within the measured bound."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
+import re
 
 import pytest
+from conftest import SF001
 from fixture_data import fixture_roles
+from pyspark.sql import functions as F
 
+from bandwise.operators import joins
 from bandwise.operators.master import build_master
 from bandwise.plans import reports as r
+from bandwise.plans.catalog import order_lines
 from bandwise.plans.reports import OrderLines
+from bandwise.plans.suite import claim_partials, grain_partials
 from bandwise.sources.bindings import Roles
 
 
@@ -82,3 +90,25 @@ def test_size_proofs_can_be_cleared(spark, parquet_lines):
     assert joins._PROOFS
     joins.clear_size_proofs()
     assert not joins._PROOFS
+
+
+@pytest.mark.parametrize("binding", ["b", "c"])
+def test_batches_are_reduced_by_compiled_code(spark, monkeypatch, binding):
+    """No generated method of an appended batch passes the 8,000 bytes up to which
+    the JVM compiles it, when no dimension can be broadcast."""
+    monkeypatch.setattr(joins, "DEFAULT_MAX_ROWS", 0)
+    monkeypatch.setattr(joins, "_PROOFS", type(joins._PROOFS)())
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = order_lines(spark, SF001, binding)
+        late = lines.raw.transactions.filter(~F.coalesce(F.col("timestamp") < "1995-07-01", F.lit(False)))
+        batch = OrderLines(lines.raw.replaced(transactions=late))
+        for partials in (grain_partials(batch), claim_partials(batch, ("red", "blue"), "substring")):
+            text = io.StringIO()
+            with contextlib.redirect_stdout(text):
+                partials.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+            assert sizes and max(sizes) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
