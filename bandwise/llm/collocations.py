@@ -45,6 +45,7 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
+_KIND, _LOWER = _KIND.tobytes(), _LOWER.tobytes()
 
 
 class Tokens:
@@ -57,11 +58,12 @@ class Tokens:
         text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
         offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-        kind = _KIND[data]
+        # mapped as bytes: numpy would turn every byte into an eight-byte index first
+        kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
         inside = np.concatenate([[False], kind == 0, [False]])
         edge = np.diff(inside.view(np.int8))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        letters = _LOWER[data[kind == 0]]
+        letters = np.frombuffer(data[kind == 0].tobytes().translate(_LOWER), np.uint8)
         places = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(letters)])
         coded = words.dictionary_encode()
@@ -72,7 +74,7 @@ class Tokens:
         lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.searchsorted(offsets - offsets[0], start, side="right") - 1
         self.pair = lang[doc] * len(self.words) + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        piece = np.cumsum(kind == 2)[start] if len(start) else start
+        piece = np.searchsorted(np.flatnonzero(kind == 2), start)
         self.same = piece[1:] == piece[:-1]
 
     def counts(self) -> pa.Table:
@@ -120,7 +122,7 @@ class Packing:
 
     def pack(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.uint64(max(0, self.right - self.bits))  # bits of b that lie in the right part
-        a, b, c = (x.astype(np.uint64) for x in (a, b, c))
+        a, b, c = (x.astype(np.int64, copy=False).view(np.uint64) for x in (a, b, c))
         bits = np.uint64(self.bits)
         if self.right >= self.bits:
             left = (a << (bits - low)) | (b >> low)
@@ -151,9 +153,10 @@ class Packing:
 def counted(left: np.ndarray, right: np.ndarray, n: np.ndarray | None, packing: Packing):
     """Sorted distinct entries with the sums of their counts (one each, if None)."""
     if packing.whole <= 64:
-        key = (left << np.uint64(packing.right)) | right
+        key = left << np.uint64(packing.right)
+        key |= right
         if n is None:
-            key = np.sort(key)
+            key.sort()
         else:
             order = np.argsort(key, kind="stable")  # merges the sorted filters
             key, n = key[order], n[order]
@@ -245,7 +248,9 @@ def _send(block: int, entries, packing: Packing, shard_bits: int) -> pa.Table:
 def _merged(table: pa.Table, packing: Packing, shard_bits: int):
     parts = [decode(d.as_py(), s, packing, shard_bits)
              for s, d in zip(table.column("shard").to_pylist(), table.column("data"))]
-    return counted(*(np.concatenate(p) for p in zip(*parts)), packing)
+    columns = [np.concatenate(p) for p in zip(*parts)]
+    del parts  # as large as the columns
+    return counted(*columns, packing)
 
 
 def _vocabulary(asked: DataFrame, min_count: int) -> DataFrame:
@@ -293,13 +298,15 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     def make(block: int, docs_of: pa.Table, known: pa.Table) -> pa.Table:
         tokens = Tokens(docs_of)
-        ids = tokens.ids(known)
-        two = tokens.same & (ids[:-1] > 0) & (ids[1:] > 0)
+        ids, same = tokens.ids(known), tokens.same
+        del tokens, known
+        two = same & (ids[:-1] > 0) & (ids[1:] > 0)
         three = two[:-1] & two[1:]
-        a = np.concatenate([ids[:-1][two], ids[:-2][three]])
-        b = np.concatenate([ids[1:][two], ids[1:-1][three]])
-        c = np.concatenate([np.zeros(int(two.sum()), np.int64), ids[2:][three]])
-        return _send(block, counted(*packing.pack(a, b, c), None, packing), packing, level)
+        runs = [packing.pack(ids[:-1][two], ids[1:][two], np.zeros(int(two.sum()), np.int64)),
+                packing.pack(ids[:-2][three], ids[1:-1][three], ids[2:][three])]
+        left, right = (np.concatenate(x) for x in zip(*runs))
+        del runs
+        return _send(block, counted(left, right, None, packing), packing, level)
 
     n_blocks = held.count()
     step = fan.bit_length() - 1

@@ -9,9 +9,11 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bandwise.llm import collocations, line_quality, turn_repair
@@ -98,6 +100,21 @@ def test_filters_lose_nothing(bits):
         assert all((x == y).all() for x, y in zip(merged, (left, right, 2 * n)))
 
 
+def test_tokens_take_few_bytes_per_byte():
+    """Splitting a block holds no eight-byte number per byte of its text."""
+    text = "Some words, of several lengths; in more pieces than one. " * 40_000
+    table = pa.table({"text": [text, "", "one"], "lang": ["en", "en", "und"]})
+    collocations.Tokens(table)
+    tracemalloc.start()
+    try:
+        found = collocations.Tokens(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found.pair) == 400_001 and int((~found.same).sum()) == 3 * 40_000
+    assert peak < 16 * len(text)  # 28 times with numbers per byte
+
+
 def test_scores_past_64_bits(spark):
     a, left, right = 9 * 10**14, 10**15, 10**15 - 7
     df = spark.createDataFrame([(a, left, right)], "f long, l long, r long")
